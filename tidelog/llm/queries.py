@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from . import exact_dedup, warc
+from .exact_dedup import op5_exact_dedup
+from .simhash import op2_simhash
 from .token_files import op9_token_files
+from .warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op9_token_files,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_warc, op5_exact_dedup, op9_token_files)}
+SQL: dict[str, str] = {"op3_warc": warc.SQL, "op5_exact_dedup": exact_dedup.SQL}
