@@ -206,3 +206,48 @@ def test_stream_ingest(spark, tmp_path):
     assert pairs(Store(spark, store.path).scan()) == [(b"a", b"1")]
     version = store.manifest.version
     assert not store.write(rows, "feed", 0) and store.manifest.version == version
+
+
+def test_log_size_of_the_write_benchmark(spark):
+    from tidelog.functions.codec import LOG_HEAD, log_record
+    from tidelog.operators.introspect import payload
+
+    rows = spark.range(5000).selectExpr("format_string('k%06d', id) as key", "0 as op", "format_string('value_%06d_bench_padding_____', id) as value")
+    assert rows.agg(F.sum(payload(LOG_HEAD)).alias("n")).first().n == 255_000
+    assert len(log_record(b"k000001", b"value_000001_bench_padding_____")) * 5000 == 255_000
+
+
+def test_lookup_benchmark(store):
+    for batch in range(5):
+        write(store, *[(b"b%dk%04d" % (batch, i), b"val") for i in range(200)])
+        store.flush()
+    assert len(store.manifest.runs) == 2 and store.manifest.compactions == 1
+    keys = [b"b0k%04d" % (i % 200) for i in range(500)] + [b"absent_key_%06d" % i for i in range(500)]
+    probes = store.spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
+    assert {r.status: r["count"] for r in store.get_many(probes).groupBy("status").count().collect()} == {"live": 500, "absent": 500}
+
+
+def test_rate_stream(spark, tmp_path):
+    from tidelog.streaming.ingest import ingest, rate_changes
+
+    store = Store(spark, str(tmp_path / "live"))
+    running = ingest(rate_changes(spark, 50), store, "live", str(tmp_path / "checkpoint"), processingTime="1 second")
+    try:
+        for _ in range(60):
+            if Store(spark, store.path).manifest.writes:
+                break
+            running.awaitTermination(1)
+    finally:
+        running.stop()
+    assert bytes(Store(spark, store.path).scan().first().key) == b"live_00000000"
+
+
+def test_smaller_metrics(spark):
+    polls = spark.createDataFrame([(1, 10), (2, 30), (3, 20)], "poll long, total long")
+    assert [r.delta for r in metrics.deltas(polls, "total").orderBy("poll").collect()] == [10, 20, 0]
+    values = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "poll long, raw long")
+    assert metrics.ema(values, "raw").first().ema == 13
+    assert [r.poll for r in metrics.rolling_series(polls, 2).collect()] == [3, 2]
+    sizes = spark.createDataFrame([(0,), (1023,), (1536,)], "n long").select(metrics.format_bytes(F.col("n")).alias("s"))
+    assert [r.s for r in sizes.collect()] == ["0 B", "1023 B", "1.5 KB"]
+    assert spark.createDataFrame([], "poll long, raw long").transform(metrics.ema, "raw").first().ema == 0

@@ -30,3 +30,14 @@ def live_rate(events: DataFrame, ts: str = "ts", seconds: int = 1, late: str = "
 def live_latest(changes: DataFrame) -> DataFrame:
     """The newest row of each key as state that a stream keeps up."""
     return changes.groupBy("key").agg(F.max(F.struct("seq", "op", "value")).alias("last")).select("key", "last.seq", "last.op", "last.value")
+
+
+def rate_changes(spark, rows_per_second: int = 200) -> DataFrame:
+    """An endless stream of puts, for demonstrations: ``live_00000000`` and so on."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return ticks.select(
+        F.format_string("live_%08d", "value").cast("binary").alias("key"),
+        F.lit(0).alias("op"),
+        F.format_string("value_%08d_____", "value").cast("binary").alias("value"),
+        F.col("value").alias("order"),
+    )
