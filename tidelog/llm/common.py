@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,19 @@ def shared_root(spark: SparkSession) -> str:
     return base if ":" in base.split("/")[0] else f"file://{base}"
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, size: str) -> Iterator[None]:
+    """Arrow batches of about so many bytes for what is run inside: long texts come to
+    the Python workers in smaller lots."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Workspace:
     """A folder of one operator call under the shared root.
 

@@ -27,8 +27,13 @@ MAGIC = b"S8BIDS01"
 _HELD = np.array([n for n, _ in SELECTORS])
 
 
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bit length of each id."""
+    if ids.max() < len(_SHORT):
+        return _SHORT[ids]
     high = (ids >> np.uint64(32)).astype(np.float64)
     low = (ids & np.uint64(0xFFFFFFFF)).astype(np.float64)
     return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)
@@ -43,17 +48,22 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     bits = _bits(ids)
     choice = np.zeros(n, np.uint8)
+    fits = np.zeros(n, bool)
+    total = np.zeros(n + 1, np.int32)
     for s in range(15, 0, -1):  # the most ids win: written last
         held, wide = SELECTORS[s]
-        over = bits > wide
+        within = bits <= wide
         if held == 1:
-            choice[~over] = s
+            fits = within
+        elif np.count_nonzero(within) < min(held, n):
             continue
-        total = np.zeros(n + 1, np.int32)
-        np.cumsum(over, out=total[1:])
-        if not over.all():
-            end = np.minimum(np.arange(n) + held, n)
-            choice[total[end] == total[:-1]] = s
+        else:
+            # Ids too wide so far: none of the next ``held`` is, or none of those left.
+            np.cumsum(~within, out=total[1:])
+            whole = max(0, n - held + 1)
+            np.equal(total[held:], total[:whole], out=fits[:whole])
+            np.equal(total[n], total[whole:n], out=fits[whole:])
+        np.copyto(choice, s, where=fits)
     step = _HELD[choice].tolist()
     at, starts = 0, []
     while at < n:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import Workspace
+from .common import Workspace, batch_bytes
 from .simple8b import Reader, Writer
 from .wordids import slices, word_ids
 
@@ -36,12 +36,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, ws: Workspa
         end = np.array([end_id], np.uint64)
         encoder = word_ids(vocabulary)
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for lo, hi in slices(texts):
+            ids = batch["doc_id"].to_pylist()
+            for lo, texts in slices(batch["text"]):
                 if writer is None:
                     uri = files.attempt_name(folder, part, ".s8b")
                     writer = Writer(files.open_write(uri))
-                for doc, raw in zip(ids[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
+                for doc, raw in zip(ids[lo : lo + len(texts)], encoder.encode(texts), strict=True):
                     writer.add(doc, np.concatenate([np.frombuffer(raw, "<u4").astype(np.uint64), end]))
         if writer is not None:
             done = writer.close()
@@ -55,12 +55,14 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, ws: Workspa
         .select("doc_id", "text")
     )
     schema = "part long, uri string, n_docs long, n_tokens long, n_bytes long"
-    return ws.save(ordered.mapInArrow(write, schema), "manifest")
+    with batch_bytes(ws.spark, "8m"):
+        return ws.save(ordered.mapInArrow(write, schema), "manifest")
 
 
-def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids. The manifest has a row for
-    each file, so its running total is taken on the driver."""
+def read_token_files(spark: SparkSession, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as
+    little-endian unsigned 32-bit integers) and, if asked for, the ids. The manifest has
+    a row for each file, so its running total is taken on the driver."""
     rows, base = [], 0
     for r in manifest.orderBy("part").collect():
         rows.append((r.uri, base))
@@ -73,53 +75,29 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     out: list[tuple] = []
                     size = 0
                     for doc, ids in Reader(source).documents():
-                        out.append((doc, start, ids.astype("<u4")))
+                        ids = ids.astype("<u4")
+                        out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), ids if with_ids else None))
                         start += len(ids)
                         size += len(ids)
-                        if size > 2_000_000 or len(out) >= 5000:
-                            yield _batch(out)
+                        if size > 1_000_000 or len(out) >= 5000:
+                            yield to_batch(out)
                             out, size = [], 0
                     if out:
-                        yield _batch(out)
+                        yield to_batch(out)
 
-    def _batch(out):
-        docs, starts, ids = zip(*out, strict=True)
-        cuts = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        flat = pa.array(np.concatenate(ids).astype(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(cuts, flat)],
-            ["doc_id", "start", "ids"],
-        )
+    def to_batch(out):
+        *columns, ids = zip(*out, strict=True)
+        columns = [pa.array(c, pa.int64()) for c in columns]
+        if with_ids:
+            cuts = np.cumsum([0, *columns[2].to_pylist()]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(ids).astype(np.int64))))
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     found = spark.createDataFrame(rows, "uri string, base long")
     if rows:
         found = found.repartition(len(rows))
-    return found.mapInArrow(read, "doc_id long, start long, ids array<long>")
-
-
-def id_digest(ids) -> int:
-    """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(np.asarray(ids).astype("<u4").tobytes())
-
-
-def digest(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of ``read_token_files``."""
-
-    def crc(batches):
-        for batch in batches:
-            ids = batch["ids"]
-            cuts, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    batch["start"],
-                    pa.array(np.diff(cuts).astype(np.int64)),
-                    pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.int64()),
-                ],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return read.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return found.mapInArrow(read, schema + ", ids array<long>" * with_ids)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,4 +109,4 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, ws
     )
-    return digest(read_token_files(spark, manifest))
+    return read_token_files(spark, manifest, with_ids=False)

@@ -15,22 +15,42 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words kept by a worker; beyond it, the store is emptied and fills again.
-CACHE_WORDS = 500_000
+#: Words kept by a worker, in two halves: when the newer is full it becomes the older,
+#: and words that are met again move over.
+CACHE_WORDS = 700_000
 #: ASCII signs that end a word apart from its letters; not the apostrophe, which
 #: the pre-tokenizer may join with letters.
 SIGNS = b""".,;:!?%&$*#|()[]{}"/+=<>@^~`\\-_"""
+#: Letters below this code are composed and lowered alike everywhere.
+LATIN_END = "\u0250"
 #: Words encoded in one string: long strings cost more for each word.
 JOINED = 128
 
 
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: the byte's own
+    where that is printable in Latin-1, the others in turn from 256."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in own else next(rest) for b in range(256)}
+
+
 class WordIds:
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        # The same model without the steps before it, for words of lower-case Latin
+        # letters: those are one piece, and their bytes' signs are known.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.signs = _byte_signs()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         # A character whose only token ends words: between words, it marks where their ids part.
         for mark in "\u2603\u2605\u2665\u2714\u00a7":
             ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
@@ -58,14 +78,34 @@ class WordIds:
     def _encode_words(self, words: list[bytes]) -> None:
         plain: list[bytes] = []
         texts: list[str] = []
+        latin: list[bytes] = []
+        signs: list[str] = []
         for w in words:
             t = w.decode("utf-8", "replace")
+            if len(w) < 200 and t.isalpha():
+                if w.isalpha():  # of bytes: all are ASCII letters, and lowered
+                    latin.append(w)
+                    signs.append(t)
+                    continue
+                low = t.lower()
+                if low.isalpha() and max(low) < LATIN_END:
+                    latin.append(w)
+                    signs.append(low.encode().decode("latin-1").translate(self.signs))
+                    continue
             if "<|" in t or self.mark in t or len(t) > 2000:
                 ids = self.tokenizer.encode(t, add_special_tokens=False).ids
                 self.known[w] = np.array(ids, "<u4").tobytes()
             else:
                 plain.append(w)
                 texts.append(t)
+        joined = [" ".join(signs[i : i + JOINED]) for i in range(0, len(signs), JOINED)]
+        for k, enc in enumerate(self.bare.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(enc.ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()  # a word's last id says that it ends
+            lo, raw = 0, ids.tobytes()
+            for w, hi in zip(latin[k * JOINED : (k + 1) * JOINED], ends, strict=True):
+                self.known[w] = raw[4 * lo : 4 * hi]
+                lo = hi
         mark = f" {self.mark} "
         joined = [mark.join(texts[i : i + JOINED]) + mark for i in range(0, len(texts), JOINED)]
         for k, enc in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
@@ -78,19 +118,23 @@ class WordIds:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null: none."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        known, older = self.known, self.older
+        if len(known) > CACHE_WORDS // 2:
+            self.known, self.older = known, older = {}, known
         parted = [(t or b"").lower().split() for t in texts]
-        found = [list(map(self.known.get, words)) for words in parted]
-        new = {w for words, ids in zip(parted, found, strict=True) for w, v in zip(words, ids, strict=True) if v is None}
+        here = set().union(*parted)
+        new = []
+        for w in here:
+            if w not in known:
+                if (ids := older.get(w)) is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
         if new:
-            self._learn(list(new))
-            known = self.known
-            found = [
-                [known[w] if v is None else v for w, v in zip(words, ids, strict=True)]
-                for words, ids in zip(parted, found, strict=True)
-            ]
-        return [b"".join(ids) for ids in found]
+            self._learn(new)
+        # The few words of these texts, in a store that fits the processor's cache.
+        ids_of = {w: known[w] for w in here}.__getitem__
+        return [b"".join(map(ids_of, words)) for words in parted]
 
 
 @lru_cache(maxsize=4)
@@ -98,13 +142,14 @@ def word_ids(vocabulary: str) -> WordIds:
     return WordIds(vocabulary)
 
 
-def slices(texts: list, most_bytes: int = 4_000_000):
-    """Ranges of a batch that hold about so many bytes."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= most_bytes:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def slices(column, most_bytes: int = 1_000_000):
+    """Parts of a binary column that hold about so many bytes, as (start, list)."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield lo, column.slice(lo, hi - lo).to_pylist()
+        lo = hi
