@@ -47,7 +47,7 @@ def sorted_runs(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col:
             n = batch.num_rows
             if not n:
                 continue
-            body, sha = batch["__body"], batch[SHA]
+            body, sha = pc.fill_null(batch[text_col], ""), batch[SHA]
             # A text begins a run unless it is, in full, the text before it.
             heads = [last is None or sha[0].as_py() != last_sha or body[0].as_py() != last]
             if n > 1:
@@ -62,16 +62,12 @@ def sorted_runs(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col:
                 [*kept, PART, RUN, HEAD, SHA],
             )
 
-    keys = ["__lead", SHA]
+    body, by_id = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).desc_nulls_last()
     ordered = (
-        df.withColumn("__body", F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
-        .withColumn("__lead", F.substring("__body", 1, SPLITTER_BYTES))
-        .withColumn(SHA, F.sha2("__body", 256))
-    )
-    if not keep_text:
-        ordered = ordered.drop(text_col)
-    ordered = ordered.repartitionByRange(*keys, F.col(id_col).desc_nulls_last()).sortWithinPartitions(
-        *keys, "__body", F.col(id_col).desc_nulls_last()
+        df.withColumn("__lead", F.substring(body.cast("binary"), 1, SPLITTER_BYTES))
+        .withColumn(SHA, F.sha2(body.cast("binary"), 256))
+        .repartitionByRange("__lead", SHA, by_id)
+        .sortWithinPartitions("__lead", SHA, body, by_id)
     )
     return ws.save(ordered.mapInArrow(compare, schema), "runs")
 
