@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from .wordids import slices, word_ids
 
 WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 6_000_000
+#: Ids in a batch that a task hands on.
+BATCH_TOKENS = 500_000
 #: Of a combination's lengths, all but two are among so many most frequent ones.
 COMMON_OF_THREE, COMMON_OF_FOUR = 32, 10
 ROUNDS = 60
@@ -147,7 +150,7 @@ class _Shard:
         self.raw.append(raw)
         self.tokens += len(raw) // 4
 
-    def pack(self, with_ids: bool) -> pa.RecordBatch:
+    def pack(self, with_ids: bool) -> Iterator[pa.RecordBatch]:
         w = self.window
         n = np.array([len(r) // 4 for r in self.raw], np.int64)
         pieces, sequence = [], self.base + self.sequence
@@ -160,6 +163,15 @@ class _Shard:
             j = int(tails[i])
             pieces.append((j, int(n[j]) // w * w + start, length, sequence + s, offset))
         self.sequence = max((p[3] for p in pieces), default=self.base - 1) + 1 - self.base
+        done, size = 0, 0
+        for k, piece in enumerate(pieces):
+            size += piece[2]
+            if size >= BATCH_TOKENS or k == len(pieces) - 1:
+                yield self._batch(pieces[done : k + 1], n, with_ids)
+                done, size = k + 1, 0
+        self.clear()
+
+    def _batch(self, pieces: list[tuple], n: np.ndarray, with_ids: bool) -> pa.RecordBatch:
         cut = [self.raw[i][4 * start : 4 * (start + length)] for i, start, length, _, _ in pieces]
         i, start, length, seq, offset = (list(c) for c in zip(*pieces, strict=True))
         columns = {
@@ -175,7 +187,6 @@ class _Shard:
             columns["ids"] = pa.ListArray.from_arrays(
                 np.cumsum([0, *length]).astype(np.int32), pa.array(np.frombuffer(b"".join(cut), "<u4").astype(np.int64))
             )
-        self.clear()
         return pa.RecordBatch.from_pydict(columns)
 
 
@@ -191,10 +202,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, window: int = W
             for lo, texts in slices(batch["text"]):
                 for doc, raw in zip(docs[lo : lo + len(texts)], encoder.encode(texts), strict=True):
                     if shard.tokens and shard.tokens + len(raw) // 4 >= SHARD_TOKENS:
-                        yield shard.pack(with_ids)
+                        yield from shard.pack(with_ids)
                     shard.add(doc, raw + end)
         if shard.docs:
-            yield shard.pack(with_ids)
+            yield from shard.pack(with_ids)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
