@@ -59,7 +59,8 @@ class MultiIndex:
     def __init__(self, first: np.ndarray, second: np.ndarray):
         self.codes = [first, second]
         self.cut = first.shape[1]
-        self.gaps = [np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1)) + np.eye(len(c)) for c in self.codes]
+        # Equal codes cost nothing to change between; no gap is quite zero.
+        self.gaps = [np.maximum(np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1)), 1e-9) for c in self.codes]
         self.limit = 0.0
 
     @classmethod
