@@ -25,7 +25,8 @@ def shared_root(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base if ":" in base.split("/")[0] else f"file://{base}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)  # without a scheme, it's in the default file system
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 @contextmanager
