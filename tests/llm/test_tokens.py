@@ -1,8 +1,10 @@
 import io
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,16 +32,46 @@ def ids_of(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def words_of(own, texts):
+    ids, counts = own.encode(pa.array([None if t is None else t.encode() for t in texts], pa.binary()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
 def test_word_ids(tokenizer):
-    got = WordIds(WORDS).encode([t.encode() for t in ODD] + [None])
-    assert [np.frombuffer(r, "<u4").tolist() for r in got] == [ids_of(tokenizer, t) for t in [*ODD, None]]
+    own = WordIds(WORDS)
+    want = [ids_of(tokenizer, t) for t in [*ODD, None]]
+    assert words_of(own, [*ODD, None]) == want and words_of(own, [*ODD, None]) == want
+    assert len(own.encode(pa.array([], pa.binary()))[1]) == 0
+
+
+@lru_cache
+def both():
+    return WordIds(WORDS), Tokenizer.from_file(WORDS)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=30), max_size=4))
+@given(st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=30), min_size=1, max_size=4))
 def test_word_ids_of_any_text(texts):
-    own, t = test_word_ids_of_any_text.__dict__.setdefault("own", (WordIds(WORDS), Tokenizer.from_file(WORDS)))
-    assert [np.frombuffer(r, "<u4").tolist() for r in own.encode([x.encode() for x in texts])] == [ids_of(t, x) for x in texts]
+    own, t = both()
+    assert words_of(own, texts) == [ids_of(t, x) for x in texts]
+
+
+def test_words_before_signs(tokenizer):
+    """Each letter below U+0250 and some beyond, upper and lower, at a word's end before a sign."""
+    letters = [chr(c) for c in [*range(0x41, 0x250), 0x307, 0x338, 0x390, 0x3A3, 0x3C2, 0x416, 0x1E9E, 0x2126, 0x212A, 0x2168, 0x3042, 0xFB01, 0x10400]]
+    for sign in (".", ",", "=", "...", "-<", "';"):
+        texts = [f"x{c}{sign} {c}{sign} {c}a{sign}{c}{sign}" for c in letters]
+        assert words_of(WordIds(WORDS), texts) == [ids_of(tokenizer, t) for t in texts]
+
+
+def test_a_full_store_keeps_the_words_met_most(tokenizer):
+    own = WordIds(WORDS)
+    own.store.most = 40
+    for i in range(12):
+        texts = [f"often again w{i}x{k}. été" for k in range(12)]
+        assert words_of(own, texts) == [ids_of(tokenizer, t) for t in texts]
+        assert len(own.store.row) <= 40 + 13 * 3
+    assert b"often" in own.store.row
 
 
 # Simple-8b
@@ -66,8 +98,9 @@ def test_id_files(monkeypatch):
     out = io.BytesIO()
     out.close = lambda: None
     w = simple8b.Writer(out)
-    for d, ids in docs:
-        w.add(d, ids)
+    for lo in range(0, 40, 7):
+        part = docs[lo : lo + 7]
+        w.add([d for d, _ in part], np.array([len(i) for _, i in part]), np.concatenate([i for _, i in part]))
     w.close()
     back = list(simple8b.Reader(out).documents())
     assert [(d, i.tolist()) for d, i in back] == [(d, i.tolist()) for d, i in docs]
@@ -79,7 +112,18 @@ def test_id_files(monkeypatch):
             list(simple8b.Reader(io.BytesIO(bad)).documents())
 
 
-def rows(spark, extra="other"):
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.just(0), st.integers(0, 3), st.integers(0, 1 << 16), st.integers(0, (1 << 64) - 1)), min_size=1, max_size=500))
+def test_words_hold_as_many_ids_as_fit(ids):
+    want, at = [], 0
+    while at < len(ids):
+        fits = [s for s, (n, wide) in enumerate(simple8b.SELECTORS) if s and all(x.bit_length() <= wide for x in ids[at : at + n])]
+        want.append(fits[0] if fits else 0)
+        at += simple8b.SELECTORS[want[-1]][0]
+    assert (simple8b.encode_block(np.array(ids, np.uint64))[0] >> np.uint64(60)).tolist() == want
+
+
+def rows(spark):
     data = [(i, t, "x", 1) for i, t in enumerate([*ODD, None])] + [(3, "again", "x", 1), (None, "no id", "x", 1), (99, "w " * 30_000, "x", 1)]
     return spark.createDataFrame(data, "doc_id long, text string, ids string, start int").repartition(3)
 
@@ -169,7 +213,7 @@ def test_packing_cases(spark, tokenizer, monkeypatch):
 def test_plans_hold_every_item_once(lengths):
     x = np.array(lengths, np.int64)
     got, sequences = np.zeros(len(x), int), {}
-    for i, start, length, s, offset in packing.pack_lengths(x, 64):
+    for i, start, length, s, offset, _ in packing.pack_lengths(x, 64):
         got[i] += length
         sequences.setdefault(s, []).append((offset, length))
     assert (got == x).all()
@@ -185,60 +229,133 @@ def test_least_squares_use_the_histogram_up():
     h = np.zeros(65, int)
     h[[16, 24, 40, 48]] = [30, 70, 70, 30]
     combos = packing.combinations(h, 64)
-    x = packing.repeats(h, combos, 500)
-    used = np.bincount(combos.ravel(), weights=np.repeat(x, 4), minlength=65)
-    assert abs(used[1:] - h[1:]).max() < 1
+    x = packing.repeats(h, combos)
+    used = np.bincount(combos.ravel(), weights=np.repeat(x, packing.DEPTH), minlength=65)
+    assert abs(used[1:] - h[1:]).max() < 1e-6 and np.count_nonzero(x) <= 4
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_least_squares_by_their_conditions(seed):
+    """At the least sum no combination's gain is above 0, and that of each one in use is 0."""
+    h = np.random.default_rng(seed).integers(0, 9, 25)
+    h[0] = 0
+    combos = packing.combinations(h, 24)
+    x = packing.repeats(h, combos)
+    rest = h - np.bincount(combos.ravel(), weights=np.repeat(x, packing.DEPTH), minlength=25)
+    rest[0] = 0
+    gain = rest[combos].sum(1)
+    assert (x >= 0).all() and gain.max() < 1e-6 and abs(gain[x > 0]).max() < 1e-6
+
+
+def test_all_combinations_are_enumerated():
+    h = np.zeros(17, int)
+    h[[1, 3, 4, 5, 7, 8, 12, 16]] = [3, 1, 2, 2, 9, 4, 1, 1]
+    want = {
+        tuple(sorted((a, b, c, d)))
+        for a in range(17) for b in range(17) for c in range(17) for d in range(17)
+        if a + b + c + d == 16 and all(v == 0 or (a, b, c, d).count(v) <= h[v] for v in (a, b, c, d))
+    }
+    got = [tuple(r) for r in packing.combinations(h, 16).tolist()]
+    assert sorted(got) == sorted(want)
+
+
+def test_most_windows_are_planned():
+    lengths = np.minimum(np.random.default_rng(5).lognormal(6.4, 0.9, 3000).astype(int) + 1, 4095)
+    pieces = packing.pack_lengths(lengths)
+    planned, every = {p[3] for p in pieces if p[5]}, {p[3] for p in pieces}
+    assert len(planned) > 0.75 * len(every)
+    assert sum(p[2] for p in pieces if p[5]) > 0.7 * lengths.sum()
 
 
 # SentencePiece
 
 
+def pieces_of(own, texts):
+    ids, counts, wrong = own.encode(pa.array([None if t is None else t.encode() for t in texts], pa.binary()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])], wrong.tolist()
+
+
 def check_codec(path, texts):
     own = sentence_pieces.Codec(path)
-    got = [np.frombuffer(r, "<u4").tolist() for r in own.encode([t.encode() for t in texts])]
-    assert got == own.truth.encode(texts)
+    got, wrong = pieces_of(own, texts)
+    assert got == own.truth.encode(texts) and not any(wrong)
     assert own.decode(got) == own.truth.decode(got)
     return own
 
 
+SPACES = [" " * 40, "x" + " " * 17 + "y", "▁a ▁▁ b", "<s> </s> <0x0A> <unk>", "\U0001f600 \n\n  z", " lead", "trail ", "a  b   c"]
+
+
 def test_sentence_pieces_parity(spark):
-    texts = [*ODD, " " * 40, "x" + " " * 17 + "y", "▁a ▁▁ b", "<s> </s> <0x0A> <unk>", "\U0001f600 \n\n  z"]
-    texts += [r.text for r in table(spark, SF, "documents").collect()]
+    texts = [*ODD, *SPACES] + [r.text for r in table(spark, SF, "documents").collect()]
     own = check_codec(PIECES, texts)
-    assert own.by_words and own.mended == 0
+    assert own.by_words
     whole = sentence_pieces.Codec(PIECES)
     whole.by_words, whole.tokenizer = False, sentence_pieces.rebuild(whole.model)
-    assert whole.encode([t.encode() for t in texts[:40]]) == own.encode([t.encode() for t in texts[:40]])
+    assert pieces_of(whole, texts[:40]) == pieces_of(own, texts[:40])
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"], exclude_characters="\x00"), max_size=60))
 def test_sentence_pieces_of_any_text(text):
-    own = test_sentence_pieces_of_any_text.__dict__.setdefault("own", sentence_pieces.Codec(PIECES))
-    assert np.frombuffer(own.encode([text.encode()])[0], "<u4").tolist() == own.truth.encode(text)
+    own = sentence_pieces.codec(PIECES)
+    assert pieces_of(own, [text]) == ([own.truth.encode(text)], [0])
 
 
-def test_a_unigram_model_made_by_hand(tmp_path):
+@pytest.mark.parametrize("by_words", [True, False])
+def test_a_wrong_rebuilt_model_shows(by_words):
+    """Ids are the rebuilt tokenizer's: without its merges they change, and are reported."""
+    from tokenizers import Tokenizer, models
+
+    own = sentence_pieces.Codec(PIECES)
+    if not by_words:
+        own.by_words, own.tokenizer = False, sentence_pieces.rebuild(own.model)
+    vocab = {p: i for i, (p, *_) in enumerate(own.model.pieces)}
+    broken = Tokenizer(models.BPE(vocab, [], unk_token="<unk>", fuse_unk=True, byte_fallback=True))
+    if own.tokenizer.normalizer:
+        broken.normalizer = own.tokenizer.normalizer
+    own.tokenizer = broken
+    got, wrong = pieces_of(own, ["the house the", "", "▁"])
+    assert got[0] != own.truth.encode("the house the") and wrong[0] == (3 if by_words else 1) and wrong[1] == 0
+
+
+def unigram(path, pieces, byte_fallback=True, squeeze=False):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
     m.trainer_spec.model_type = 1
-    m.trainer_spec.byte_fallback = True
-    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", True, False
-    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", -20.0, 6) for b in range(256)]
-    pieces += [(p, s, 1) for p, s in [("▁", -3.0), ("a", -4.0), ("b", -4.5), ("ab", -5.0), ("▁a", -4.2), ("bab", -6.0), ("▁ab", -6.1)]]
-    for piece, score, kind in pieces:
+    m.trainer_spec.byte_fallback = byte_fallback
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", True, squeeze
+    own = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", -20.0, 6) for b in range(256) if byte_fallback]
+    for piece, score, kind in own + [(p, s, 1) for p, s in pieces]:
         m.pieces.add(piece=piece, score=score, type=kind)
-    path = tmp_path / "own.model"
     path.write_bytes(m.SerializeToString())
-    check_codec(str(path), ["ab abab", "bbab a", "", "a  b", "éa", "abba baab"])
+    return str(path)
+
+
+def test_a_unigram_model_made_by_hand(tmp_path):
+    pieces = [("▁", -3.0), ("a", -4.0), ("b", -4.5), ("ab", -5.0), ("▁a", -4.2), ("bab", -6.0), ("▁ab", -6.1)]
+    check_codec(unigram(tmp_path / "own.model", pieces), ["ab abab", "bbab a", "", "a  b", "éa", "abba baab"])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("fallback", [True, False])
+def test_random_unigram_models(tmp_path, seed, fallback):
+    """Models of random pieces and scores, with and without byte fallback, on random texts."""
+    rng = np.random.default_rng(seed)
+    signs = list("abcde")
+    pieces = {c: 0 for c in [*signs, "▁"]} | {"".join(rng.choice(signs, rng.integers(2, 5))): 0 for _ in range(60)}
+    pieces |= {"▁" + "".join(rng.choice(signs, rng.integers(1, 4))): 0 for _ in range(30)}
+    scored = [(p, float(-rng.uniform(1, 4) * len(p))) for p in pieces]
+    texts = [" ".join("".join(rng.choice([*signs, "f", "é"], rng.integers(1, 9))) for _ in range(rng.integers(0, 12))) for _ in range(60)]
+    check_codec(unigram(tmp_path / "random.model", scored, fallback), texts)
 
 
 def test_sentence_piece_columns(spark):
     docs = rows(spark)
     got = sentence_pieces.round_trip(docs, PIECES).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
-    assert len(got) == docs.count() and all(r.round_trip for r in got)
+    assert len(got) == docs.count() and all(r.round_trip and r.mismatches == 0 for r in got)
     truth = sentence_pieces.Codec(PIECES).truth
     for r in got:
         if r.doc_id != 3:
@@ -304,6 +421,19 @@ def test_token_counts_by_recount(spark, tokenizer):
     assert got == want
 
 
+def test_counting_columns(spark, tokenizer):
+    """Very long texts, other columns of the names in use, and an empty table."""
+    data = [(i, t, "en", "s", -1, "v") for i, t in enumerate([*ODD, "w " * 30_000])]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_tokens int, tokenizer string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, WORDS).collect()}
+    assert got == {d: len(ids_of(tokenizer, t)) for d, t, *_ in data}
+    assert token_counts.count_tokens(docs.limit(0), WORDS).count() == 0
+    r = token_counts.TokenRollup(spark, Workspace(spark, "t").path("rollup"))
+    sent = spark.createDataFrame([("insert", 1, 1, "s", "en", "t", 10)], CHANGES)
+    extra = sent.selectExpr("*", "7 as docs", "true as alive", "1 as batch", "'x' as last")
+    assert r.commit("1", extra) and totals(r) == {("s", "en", "t"): (1, 10)}
+
+
 def test_counting_cases(spark, tokenizer):
     docs = spark.createDataFrame([(1, None, None, None), (None, "a b", "en", "s")], "doc_id long, text string, lang string, source string")
     assert sorted(r.n_tokens for r in token_counts.count_tokens(docs, WORDS).collect()) == [0, 2]

@@ -1,18 +1,23 @@
 """Packing documents into windows by non-negative least squares.
 
 A document is its ids and one end id; whole windows are cut off its front, and what
-is left, shorter than a window, is to be packed with others. Combinations of two to
-four lengths that fill a window exactly are enumerated, non-negative least squares
-finds how often to repeat each so that the histogram of lengths is used up, and the
-rounded counts are taken as far as the documents go. The residue is packed greedily,
-longest first, each window by the longest piece that still fits; where none does, a
-document is cut to fill it. The last, unfilled window is cut into sequences whose
-lengths are powers of two, which need no padding.
+is left, shorter than a window, is to be packed with others. Lengths are counted in
+buckets of a 64th of a window, each rounded up. Combinations of one to four buckets
+that fill a window are enumerated, all of them over the buckets there are;
+non-negative least squares (the active-set method) finds how often to repeat each so
+that the histogram is used up. Its solution has no more combinations than there are
+buckets, so counts are large enough to round. Rounded counts are taken as far as the
+documents go. The residue is packed greedily: it first fills up the planned windows,
+which rounding up left a little short, then windows of its own, by the longest piece
+that still fits; where none does, a document is cut to fill the window. If the residue
+doesn't suffice, planned windows are given back to it, the last first. The last,
+unfilled window is cut into sequences whose lengths are powers of two, which need no
+padding.
 
 A task packs what it reads in shards of at most ``SHARD_TOKENS`` ids (a longer
 document is a shard of its own), so nothing is shuffled or collected, memory is
 bounded, and any number of tasks pack alike. Sequence ids hold the task's number in
-their upper half.
+their upper half. ``planned`` says whether a piece was put where it is by the plan.
 
 Cases: a null text is an empty one (the end id alone); null and repeated ``doc_id``
 are kept row by row; an empty table gives no pieces; other columns are ignored.
@@ -31,83 +36,110 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .wordids import slices, word_ids
+from .wordids import slices, with_end, word_ids
 
 WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 6_000_000
 #: Ids in a batch that a task hands on.
 BATCH_TOKENS = 500_000
-#: Of a combination's lengths, all but two are among so many most frequent ones.
-COMMON_OF_THREE, COMMON_OF_FOUR = 32, 10
-ROUNDS = 60
-LEAST_REPEATS = 0.05
+#: Buckets in a window, and lengths in a combination.
+BUCKETS, DEPTH = 64, 4
 
 
-def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
-    """Rows of four ascending lengths, zero where there are fewer, with sum ``window``."""
+def combinations(histogram: np.ndarray, whole: int) -> np.ndarray:
+    """Rows of ``DEPTH`` ascending numbers of buckets there are, zero where there are
+    fewer, whose sum is ``whole``; none asks for a bucket more often than it is there."""
     present = np.flatnonzero(histogram)
-    by_count = present[np.argsort(-histogram[present], kind="stable")]
-    three, four = by_count[:COMMON_OF_THREE], by_count[:COMMON_OF_FOUR]
-    firsts = [(0, 0), *((0, int(b)) for b in three), *((int(b), int(c)) for i, b in enumerate(four) for c in four[i:])]
-    rows = []
-    for b, c in firsts:
-        rest = window - b - c - present
-        ok = (rest > 0) & (rest <= window)
-        ok[ok] = histogram[rest[ok]] > 0
-        a = present[ok]
-        rows.append(np.stack([np.full(len(a), b), np.full(len(a), c), a, rest[ok]], axis=1))
-    found = np.sort(np.concatenate(rows), axis=1)
-    found = np.unique(found, axis=0)
-    # A length may not be asked for more often than there are documents of it.
-    for k in range(4):
+    # Ascending rows whose sum leaves room for at least their last number again.
+    found, rows = [], np.zeros((1, 0), np.int64)
+    for depth in range(1, DEPTH + 1):
+        rest = whole - rows.sum(1)
+        least = rows[:, -1] if depth > 1 else np.zeros(len(rows), np.int64)
+        ends = (rest >= least) & (rest < len(histogram)) & (histogram[np.clip(rest, 0, len(histogram) - 1)] > 0)
+        full = np.column_stack([rows[ends], rest[ends]])
+        found.append(np.pad(full, ((0, 0), (DEPTH - depth, 0))))
+        # On to one more: each number from the row's last on that leaves room for another.
+        i, j = np.nonzero((present >= least[:, None]) & (2 * present <= rest[:, None]))
+        rows = np.column_stack([rows[i], present[j]])
+    found = np.concatenate(found)
+    for k in range(DEPTH):
         found = found[(found[:, k] == 0) | ((found == found[:, [k]]).sum(1) <= histogram[found[:, k]])]
     return found
 
 
-def repeats(histogram: np.ndarray, combos: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Least squares of (use of each length - histogram) over counts of at least 0, by
-    multiplicative updates, which keep counts positive and never raise the error."""
-    n, flat = len(histogram), combos.ravel()
+def repeats(histogram: np.ndarray, combos: np.ndarray) -> np.ndarray:
+    """Counts of at least 0 for which the squares of (use of each bucket - histogram) sum
+    to the least, by the active-set method: the combination that lowers the error most
+    comes in, a solution over those that are in is found, and where it has counts below 0,
+    combinations go out on the way to it."""
     h = histogram.astype(float)
     h[0] = 0
-    x = np.full(len(combos), max(1.0, h.sum()) / max(1, 4 * len(combos)))
-    want = h[combos].sum(1)
-    for _ in range(rounds):
-        used = np.bincount(flat, weights=np.repeat(x, combos.shape[1]), minlength=n)
-        used[0] = 0
-        x *= want / np.maximum(used[combos].sum(1), 1e-12)
+    columns = np.zeros((len(combos), len(h)))
+    np.add.at(columns, (np.arange(len(combos))[:, None], combos), 1.0)
+    columns[:, 0] = 0
+    x, inside = np.zeros(len(combos)), np.zeros(len(combos), bool)
+    for _ in range(4 * len(h)):
+        gain = columns @ (h - x @ columns)
+        gain[inside] = -1
+        best = int(gain.argmax())
+        if gain[best] <= 1e-9 * max(1.0, h.max()):
+            break
+        inside[best] = True
+        while True:
+            chosen = np.flatnonzero(inside)
+            own = np.linalg.lstsq(columns[chosen].T, h, rcond=None)[0]
+            low = own <= 1e-12
+            if not low.any():
+                break
+            old = x[chosen]
+            part = (old[low] / np.maximum(old[low] - own[low], 1e-300)).min()
+            x[chosen] = old + part * (own - old)
+            x[chosen[low & (x[chosen] <= 1e-12)]] = 0
+            inside[chosen] = x[chosen] > 0
+            if not inside.any():
+                return x
+        x[:] = 0
+        x[chosen] = own
     return x
 
 
-def pack_lengths(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (item, start, length, sequence, offset) of items shorter than a window."""
+def plan(lengths: np.ndarray, window: int) -> tuple[list[list[int]], list[int]]:
+    """Items of each planned window, and the items left over."""
+    step = max(1, window // BUCKETS)
+    bucket = -(-lengths // step)
+    histogram = np.bincount(bucket, minlength=-(-window // step) + 1)
     items: dict[int, list[int]] = {}
-    for i in np.argsort(lengths, kind="stable")[::-1].tolist():
-        items.setdefault(int(lengths[i]), []).append(i)
-    histogram = np.bincount(lengths, minlength=window + 1)
-    out, sequence = [], 0
-    combos = combinations(histogram, window)
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        items.setdefault(int(bucket[i]), []).append(i)
+    windows = []
+    combos = combinations(histogram, window // step)
     if len(combos):
-        x = repeats(histogram, combos)
-        for k in np.argsort(-x, kind="stable").tolist():
-            if x[k] < LEAST_REPEATS:
+        times = np.floor(repeats(histogram, combos) + 0.5).astype(int)
+        for k in np.argsort(-times, kind="stable").tolist():
+            if not times[k]:
                 break
             row = [v for v in combos[k].tolist() if v]
-            times = max(1, round(x[k]))
-            for v in set(row):
-                times = min(times, len(items.get(v, ())) // row.count(v))
-            for _ in range(times):
-                at = 0
-                for v in row:
-                    out.append((items[v].pop(), 0, v, sequence, at))
-                    at += v
-                sequence += 1
-    # The residue: (length, item, start), ascending.
-    left = sorted((v, i, 0) for v, held in items.items() for i in held)
-    while left:
+            most = min(len(items[v]) // row.count(v) for v in set(row))
+            windows += [[items[v].pop() for v in row] for _ in range(min(int(times[k]), most))]
+    return windows, [i for held in items.values() for i in held]
+
+
+def pack_lengths(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int, bool]]:
+    """Pieces (item, start, length, sequence, offset, planned) of items shorter than a window."""
+    windows, rest = plan(lengths, window)
+    size = lengths.tolist()
+    left = sorted((size[i], i, 0) for i in rest)  # (length, item, start), ascending
+    out, sequence = [], 0
+    while windows or left:
         at, row = 0, []
-        while at < window and left:
-            k = bisect_right(left, (window - at, len(lengths), 0)) - 1
+        if windows:
+            for i in windows.pop(0):
+                row.append((i, 0, size[i], at, True))
+                at += size[i]
+        while at < window and (left or windows):
+            if not left:  # the last planned window goes back to the residue
+                left = sorted((size[i], i, 0) for i in windows.pop())
+            k = bisect_right(left, (window - at, len(size), 0)) - 1
             if k >= 0:
                 v, i, start = left.pop(k)
             else:
@@ -115,22 +147,22 @@ def pack_lengths(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, i
                 room = window - at
                 insort(left, (v - room, i, start + room))
                 v = room
-            row.append((i, start, v, at))
+            row.append((i, start, v, at, False))
             at += v
         if at == window:
-            out += [(i, start, v, sequence, o) for i, start, v, o in row]
+            out += [(i, start, v, sequence, o, planned) for i, start, v, o, planned in row]
             sequence += 1
             continue
         for bit in reversed(range(window.bit_length())):  # the last window: powers of two
             room = at & (1 << bit)
             o = 0
             while o < room:
-                i, start, v, _ = row.pop(0)
+                i, start, v, _, planned = row.pop(0)
                 take = min(v, room - o)
-                out.append((i, start, take, sequence, o))
+                out.append((i, start, take, sequence, o, planned))
                 o += take
                 if take < v:
-                    row.insert(0, (i, start + take, v - take, 0))
+                    row.insert(0, (i, start + take, v - take, 0, planned))
             sequence += room > 0
     return out
 
@@ -142,72 +174,86 @@ class _Shard:
 
     def clear(self) -> None:
         self.docs: list[int | None] = []
-        self.raw: list[bytes] = []
+        self.counts: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
         self.tokens = 0
 
-    def add(self, doc: int | None, raw: bytes) -> None:
-        self.docs.append(doc)
-        self.raw.append(raw)
-        self.tokens += len(raw) // 4
+    def add(self, docs: list[int | None], counts: np.ndarray, ids: np.ndarray) -> None:
+        self.docs += docs
+        self.counts.append(counts)
+        self.ids.append(ids)
+        self.tokens += len(ids)
 
     def pack(self, with_ids: bool) -> Iterator[pa.RecordBatch]:
         w = self.window
-        n = np.array([len(r) // 4 for r in self.raw], np.int64)
-        pieces, sequence = [], self.base + self.sequence
-        for i in np.flatnonzero(n >= w).tolist():
-            for k in range(int(n[i]) // w):
-                pieces.append((i, k * w, w, sequence, 0))
-                sequence += 1
+        n, ids = np.concatenate(self.counts), np.concatenate(self.ids)
+        begins = np.cumsum(n) - n
+        whole = n // w
+        # Pieces as rows of item, start, length, sequence, offset, planned: first the whole windows.
+        item = np.repeat(np.arange(len(n)), whole)
+        start = (np.arange(len(item)) - np.repeat(np.cumsum(whole) - whole, whole)) * w
+        pieces = np.column_stack([item, start, np.full(len(item), w), np.arange(len(item)), np.zeros((len(item), 2), np.int64)])
         tails = np.flatnonzero(n % w)
-        for i, start, length, s, offset in pack_lengths((n % w)[tails], w):
-            j = int(tails[i])
-            pieces.append((j, int(n[j]) // w * w + start, length, sequence + s, offset))
-        self.sequence = max((p[3] for p in pieces), default=self.base - 1) + 1 - self.base
-        done, size = 0, 0
-        for k, piece in enumerate(pieces):
-            size += piece[2]
-            if size >= BATCH_TOKENS or k == len(pieces) - 1:
-                yield self._batch(pieces[done : k + 1], n, with_ids)
-                done, size = k + 1, 0
+        rest = np.array(pack_lengths((n % w)[tails], w), np.int64).reshape(-1, 6)
+        rest[:, 0] = tails[rest[:, 0]]
+        rest[:, 1] += whole[rest[:, 0]] * w
+        rest[:, 3] += len(item)
+        pieces = np.concatenate([pieces, rest])
+        pieces[:, 3] += self.base + self.sequence
+        self.sequence = int(pieces[-1, 3]) + 1 - self.base if len(pieces) else self.sequence
+        cuts = np.searchsorted(np.cumsum(pieces[:, 2]), np.arange(BATCH_TOKENS, pieces[:, 2].sum(), BATCH_TOKENS))
+        for part in np.split(pieces, cuts):
+            if len(part):
+                yield self._batch(part, n, begins, ids, with_ids)
         self.clear()
 
-    def _batch(self, pieces: list[tuple], n: np.ndarray, with_ids: bool) -> pa.RecordBatch:
-        cut = [self.raw[i][4 * start : 4 * (start + length)] for i, start, length, _, _ in pieces]
-        i, start, length, seq, offset = (list(c) for c in zip(*pieces, strict=True))
+    def _batch(self, pieces: np.ndarray, n: np.ndarray, begins: np.ndarray, ids: np.ndarray, with_ids: bool) -> pa.RecordBatch:
+        i, start, length, sequence, offset, planned = pieces.T
+        at = begins[i] + start
+        raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+        cut = [raw[4 * a : 4 * b] for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
         columns = {
-            "doc_id": pa.array([self.docs[k] for k in i], pa.int64()),
-            "start": pa.array(start, pa.int64()),
-            "length": pa.array(length, pa.int64()),
+            "doc_id": pa.array([self.docs[k] for k in i.tolist()], pa.int64()),
+            "start": pa.array(start),
+            "length": pa.array(length),
             "ids_crc32": pa.array([zlib.crc32(c) for c in cut], pa.int64()),
             "doc_tokens": pa.array(n[i]),
-            "sequence_id": pa.array(seq, pa.int64()),
-            "offset": pa.array(offset, pa.int64()),
+            "sequence_id": pa.array(sequence),
+            "offset": pa.array(offset),
+            "planned": pa.array(planned > 0),
         }
         if with_ids:
             columns["ids"] = pa.ListArray.from_arrays(
-                np.cumsum([0, *length]).astype(np.int32), pa.array(np.frombuffer(b"".join(cut), "<u4").astype(np.int64))
+                np.concatenate([[0], np.cumsum(length)]).astype(np.int32), pa.array(np.frombuffer(b"".join(cut), "<u4").astype(np.int64))
             )
         return pa.RecordBatch.from_pydict(columns)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset, and its ids if asked for."""
+    offset, planned, and its ids if asked for."""
 
     def run(batches):
-        shard = _Shard(TaskContext.get().partitionId() << 32, window)
-        encoder, end = word_ids(vocabulary), np.array([end_id], "<u4").tobytes()
+        shard, encoder = _Shard(TaskContext.get().partitionId() << 32, window), word_ids(vocabulary)
         for batch in batches:
             docs = batch["doc_id"].to_pylist()
-            for lo, texts in slices(batch["text"]):
-                for doc, raw in zip(docs[lo : lo + len(texts)], encoder.encode(texts), strict=True):
-                    if shard.tokens and shard.tokens + len(raw) // 4 >= SHARD_TOKENS:
+            for first, texts in slices(batch["text"]):
+                ids, counts = with_end(*encoder.encode(texts), end_id)
+                ends = np.cumsum(counts)
+                lo = at = 0
+                while lo < len(counts):
+                    hi = int(np.searchsorted(ends, at + SHARD_TOKENS - shard.tokens, "right"))
+                    if hi == lo and not shard.tokens:
+                        hi += 1
+                    end = int(ends[hi - 1]) if hi else 0
+                    shard.add(docs[first + lo : first + hi], counts[lo:hi], ids[at:end])
+                    lo, at = hi, end
+                    if lo < len(counts):
                         yield from shard.pack(with_ids)
-                    shard.add(doc, raw + end)
-        if shard.docs:
+        if shard.tokens:
             yield from shard.pack(with_ids)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, planned boolean"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     return rows.mapInArrow(run, schema + ", ids array<long>" * with_ids)
 

@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 A model file is parsed as protobuf by hand and rebuilt: normaliser, metaspace marker,
-unigram scores or the merges that BPE scores stand for, byte fallback, decoder. What
-the rebuilt tokenizer encodes is verified against the sentencepiece library: if ids
-differ, that library's are taken, so results are always those of the model.
+unigram scores or the merges that BPE scores stand for, byte fallback, decoder. All ids
+and texts come from the rebuilt tokenizer. What it encodes is verified against the
+sentencepiece library: ``mismatches`` counts the words of a text (or the whole text, see
+below) whose ids differ from that library's. It is 0 wherever parity holds; ids are not
+mended.
 
 If no piece has the marker after another sign and the normaliser changes nothing, a
 text's ids are those of its marked words in a row. Then each distinct word is encoded
@@ -28,17 +30,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .wordids import slices
+from .wordids import IdStore, as_string, in_a_row, offsets, put_back, slices
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of models and of pieces.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words kept by a worker, in two halves; words encoded in one string.
+#: Words kept by a worker; words encoded in one string.
 CACHE_WORDS, JOINED = 400_000, 64
 
 
@@ -85,6 +88,7 @@ class Model:
         self.kind = trainer.get(3, UNIGRAM)
         self.byte_fallback = bool(trainer.get(35, 0))
         self.unk_id = trainer.get(40, 0)
+        self.unk_surface = trainer[44].decode() if 44 in trainer else " \u2047 "
         self.charsmap = normal.get(2, b"")
         self.dummy_prefix = bool(normal.get(3, 1))
         self.squeeze = bool(normal.get(4, 1))
@@ -128,7 +132,8 @@ def rebuild(model: Model, normalise: bool = True):
             steps.append(normalizers.Prepend(MARK))
         out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
     strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
-    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+    unknown = decoders.Replace(model.pieces[model.unk_id][0], model.unk_surface)  # of whole pieces: no other holds its name
+    out.decoder = decoders.Sequence([unknown, decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
     return out
 
 
@@ -143,67 +148,62 @@ class Codec:
         self.by_words = self.model.words_part
         self.tokenizer = rebuild(self.model, normalise=not self.by_words)
         self.begins = np.array([p.startswith(MARK) for p, *_ in self.model.pieces])
-        self.mended = 0  # strings for which the rebuilt tokenizer's ids were not the model's
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        own = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        truth = self.truth.encode(texts, num_threads=1)
-        self.mended += sum(a != b for a, b in zip(own, truth, strict=True))
-        return truth
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if w and w[:1] != b" "]
+        self.store = IdStore(CACHE_WORDS)
+
+    def _own(self, texts: list[str]) -> list[list[int]]:
+        if self.by_words:  # then the marks are set here
+            texts = [MARK + t.replace(" ", MARK) for t in texts]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, lengths and whether the model's ids are others, of each word. A word may begin
+        with spaces, besides the one before it; the empty word is that one alone."""
+        plain = [i for i, w in enumerate(words) if w and w[:1] != b" "]
+        alone = [i for i, w in enumerate(words) if not w or w[:1] == b" "]
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        joined = [b" ".join(g).decode("utf-8", "replace") for g in groups]
-        own = self.tokenizer.encode_batch_fast([MARK + t.replace(" ", MARK) for t in joined], add_special_tokens=False)
-        truth = self.truth.encode(joined, num_threads=1)
-        for group, e, ids in zip(groups, own, truth, strict=True):
-            if e.ids != ids:
-                self.mended += 1  # the group is taken from the model
-            ids = np.array(ids, "<u4")
-            cuts = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
-            raw = ids.tobytes()
-            for w, a, b in zip(group, cuts[:-1], cuts[1:], strict=True):
-                self.known[w] = raw[4 * a : 4 * b]
-        # Words after more than one space; there is a key for each number of spaces.
-        rest = [w for w in words if not w or w[:1] == b" "]
-        texts = [w.decode("utf-8", "replace") for w in rest]  # the dummy prefix is the first space
-        own = self.tokenizer.encode_batch_fast([MARK + t.replace(" ", MARK) for t in texts], add_special_tokens=False)
-        for w, t, e in zip(rest, texts, own, strict=True):
-            ids = self.truth.encode(t) if t else [self.truth.piece_to_id(MARK)]
-            self.mended += e.ids != ids
-            self.known[w] = np.array(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not self.by_words:
-            return [np.array(ids, "<u4").tobytes() for ids in self._whole([(t or b"").decode("utf-8", "replace") for t in texts])]
-        mark = MARK.encode()
-        parted = []
-        for t in texts:
-            t = (t or b"").replace(mark, b" ")
-            if not t:
-                parted.append([])
-            elif b"  " in t or t[:1] == b" " or t[-1:] == b" ":
-                parted.append([w[1:] for w in re.findall(rb" +[^ ]*", b" " + t)])
+        joined = [b" ".join(words[i] for i in g).decode("utf-8", "replace") for g in groups]
+        order, lengths, ids, wrong = [], [], [], np.zeros(len(words), bool)
+        for group, own, truth in zip(groups, self._own(joined), self.truth.encode(joined, num_threads=1), strict=True):
+            own_ids = np.array(own, np.uint32)
+            at = np.flatnonzero(self.begins[own_ids])  # each word has one mark, at its beginning
+            if own != truth or len(at) != len(group):
+                alone += group  # to be told apart word by word
             else:
-                parted.append(t.split(b" "))
-        known, older = self.known, self.older
-        if len(known) > CACHE_WORDS // 2:
-            self.known, self.older = known, older = {}, known
-        here, new = set().union(*parted), []
-        for w in here:
-            if w not in known:
-                if (ids := older.get(w)) is None:
-                    new.append(w)
-                else:
-                    known[w] = ids
-        if new:
-            self._learn(new)
-        ids_of = {w: known[w] for w in here}.__getitem__
-        return [b"".join(map(ids_of, words)) for words in parted]
+                order += group
+                lengths.append(np.diff(at, append=len(own)))
+                ids.append(own_ids)
+        texts = [words[i].decode("utf-8", "replace") for i in alone]
+        for i, t, own in zip(alone, texts, self._own(texts), strict=True):
+            wrong[i] = own != (self.truth.encode(t) if t else [self.truth.piece_to_id(MARK)])
+            order.append(i)
+            lengths.append(np.array([len(own)]))
+            ids.append(np.array(own, np.uint32))
+        return *put_back(np.array(order), np.concatenate(lengths), np.concatenate(ids)), wrong
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of a binary column's texts in a row, and of each the number of ids and of
+        mismatches; null: an empty text."""
+        text = as_string(column)
+        if not self.by_words:
+            texts = [t.decode("utf-8", "replace") for t in text.cast(pa.binary()).to_pylist()]
+            own, truth = self._own(texts), self.truth.encode(texts, num_threads=1)
+            ids = np.concatenate([np.empty(0, np.uint32), *(np.array(o, np.uint32) for o in own)])
+            return ids, np.array([len(o) for o in own], np.int64), np.array([a != b for a, b in zip(own, truth, strict=True)], np.int64)
+        text = pc.replace_substring(text, MARK, " ")
+        # Texts with empty words between their spaces are parted apart from the others.
+        odd = pc.or_(pc.or_(pc.match_substring(text, "  "), pc.equal(text, "")), pc.or_(pc.starts_with(text, " "), pc.ends_with(text, " ")))
+        parted = pc.split_pattern(pc.if_else(odd, "", text), " ")
+        where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        spaced = [[w[1:] for w in re.findall(rb" +[^ ]*", b" " + t)] if t else [] for t in text.filter(odd).cast(pa.binary()).to_pylist()]
+        coded = pc.dictionary_encode(pa.concat_arrays([parted.flatten().cast(pa.binary()), pa.array([w for t in spaced for w in t], pa.binary())]))
+        at = np.concatenate([offsets(parted), offsets(parted)[-1] + np.cumsum([len(t) for t in spaced], dtype=np.int64)]).astype(np.int32)
+        source = np.arange(len(text))
+        source[where] = len(text) + np.arange(len(where))
+        parted = pa.ListArray.from_arrays(pa.array(at), coded.indices).take(pa.array(source))
+        rows = self.store.rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn)
+        word, text_at = rows[parted.flatten().to_numpy()], offsets(parted)
+        wrong = np.concatenate([[0], np.cumsum(self.store.marks[word])])
+        return *in_a_row(self.store.lists(), word, text_at), np.diff(wrong[text_at]).astype(np.int64)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -214,58 +214,61 @@ def codec(path: str, threads: int = 2) -> Codec:
     return Codec(path, threads)
 
 
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(ids.astype(np.int32)))
+
+
 def encode(docs: DataFrame, model: str, threads: int = 2) -> DataFrame:
-    """doc_id, ids of each document."""
+    """doc_id, ids and mismatches of each document."""
 
     def run(batches):
         own = codec(model, threads)
         for batch in batches:
             for lo, texts in slices(batch["text"]):
-                raw = own.encode(texts)
-                ids = pa.ListArray.from_arrays(
-                    np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
-                )
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, len(texts)), ids], ["doc_id", "ids"])
+                ids, counts, wrong = own.encode(texts)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, len(texts)), _lists(ids, counts), pa.array(wrong)], ["doc_id", "ids", "mismatches"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, ids array<int>, mismatches long")
 
 
 def decode(encoded: DataFrame, model: str, threads: int = 2) -> DataFrame:
-    """Adds the decoded text."""
+    """Adds the decoded text to ``encoded(doc_id, ids)``."""
 
     def run(batches):
         own = codec(model, threads)
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                texts = own.decode(part["ids"].to_pylist())
+                texts = own.decode([ids or [] for ids in part["ids"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
 def round_trip(docs: DataFrame, model: str, threads: int = 2) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, decoded_sha256 and whether the decoded text is the
-    text, of each document: encoded and decoded in one pass, so ids stay in the worker."""
+    """doc_id, n_tokens, ids_crc32, decoded_sha256, whether the decoded text is the text, and
+    mismatches, of each document: encoded and decoded in one pass, so ids stay in the worker."""
 
     def run(batches):
         own = codec(model, threads)
         for batch in batches:
-            for lo, texts in slices(batch["text"]):
-                raw = own.encode(texts)
-                back = [t.encode() for t in own.decode([np.frombuffer(r, "<u4").tolist() for r in raw])]
+            for lo, texts in slices(batch["text"], 1_000_000):
+                ids, counts, wrong = own.encode(texts)
+                parts = np.split(ids.astype("<u4", copy=False), np.cumsum(counts)[:-1])
+                back = [t.encode() for t in own.decode([p.tolist() for p in parts])]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch["doc_id"].slice(lo, len(texts)),
-                        "n_tokens": pa.array([len(r) // 4 for r in raw], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(r) for r in raw], pa.int64()),
+                        "n_tokens": pa.array(counts),
+                        "ids_crc32": pa.array([zlib.crc32(p) for p in parts], pa.int64()),
                         "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in back],
-                        "round_trip": [b == (t or b"") for b, t in zip(back, texts, strict=True)],
+                        "round_trip": [b == (t or b"") for b, t in zip(back, texts.to_pylist(), strict=True)],
+                        "mismatches": pa.array(wrong),
                     }
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+        run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, mismatches long"
     )
 
 

@@ -39,6 +39,45 @@ def _bits(ids: np.ndarray) -> np.ndarray:
     return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)
 
 
+def _widest(bits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each number of ids that a word may hold, ascending: the most bits among so many
+    ids from each place on. Windows are put together from the two largest before that cover
+    them; what is past the end counts as no bits."""
+    n, made = len(bits), {1: bits}
+    for held in sorted({n for n, _ in SELECTORS}):
+        if held > 1:
+            half = max(h for h in made if 2 * h >= held or h == max(made))
+            while 2 * half < held:  # no window before is long enough: double the longest
+                made[2 * half] = _joined(made[half], half, n)
+                half *= 2
+            made[held] = _joined(made[half], held - half, n)
+        yield held, made[held]
+
+
+def _joined(window: np.ndarray, by: int, n: int) -> np.ndarray:
+    out = window.copy()
+    if by < n:
+        np.maximum(out[: n - by], window[by:], out=out[: n - by])
+    return out
+
+
+def _chain(after: np.ndarray) -> np.ndarray:
+    """The places met from 0 on, by steps from each place to the one after it. Steps of 32
+    are made by doubling; the places between them are then filled in, all at once."""
+    n = len(after)
+    hops = [np.append(after, n)]
+    for _ in range(5):
+        hops.append(hops[-1].take(hops[-1], mode="clip"))
+    far, at, met = hops.pop(), 0, []
+    while at < n:
+        met.append(at)
+        at = int(far[at])
+    places = np.array(met)
+    for hop in reversed(hops):
+        places = np.stack([places, hop.take(places, mode="clip")], axis=1).ravel()
+    return places[places < n]
+
+
 def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and escaped values of a block of ids. The last word may hold fewer ids
     than its selector says; the reader knows how many there are."""
@@ -47,39 +86,27 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     bits = _bits(ids)
+    least = int(bits.min())
+    widest = dict(_widest(bits)) if least < 21 else {1: bits, 2: _joined(bits, 1, n), 3: _joined(_joined(bits, 1, n), 1, n)}
     choice = np.zeros(n, np.uint8)
-    fits = np.zeros(n, bool)
-    total = np.zeros(n + 1, np.int32)
-    for s in range(15, 0, -1):  # the most ids win: written last
+    for s in range(1, 16):  # the most ids win: the first selector that fits
         held, wide = SELECTORS[s]
-        within = bits <= wide
-        if held == 1:
-            fits = within
-        elif np.count_nonzero(within) < min(held, n):
-            continue
-        else:
-            # Ids too wide so far: none of the next ``held`` is, or none of those left.
-            np.cumsum(~within, out=total[1:])
-            whole = max(0, n - held + 1)
-            np.equal(total[held:], total[:whole], out=fits[:whole])
-            np.equal(total[n], total[whole:n], out=fits[whole:])
-        np.copyto(choice, s, where=fits)
-    step = _HELD[choice].tolist()
-    at, starts = 0, []
-    while at < n:
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts)
+        if wide >= least and held in widest:
+            np.maximum(choice, (widest[held] <= wide) * np.uint8(16 - s), out=choice)
+    choice = np.where(choice > 0, 16 - choice, ESCAPE).astype(np.uint8)
+    starts = _chain(np.minimum(np.arange(n) + _HELD.take(choice), n))
     chosen = choice[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(240, np.uint64)])
-    for s in np.unique(chosen):
+    for s in np.unique(chosen).tolist():
         held, wide = SELECTORS[s]
         if s == ESCAPE or not wide:
             continue
         here = np.flatnonzero(chosen == s)
+        at, own = starts[here], words[here]
         for k in range(held):
-            words[here] |= padded[starts[here] + k] << np.uint64(k * wide)
+            own |= padded[at + k] << np.uint64(k * wide)
+        words[here] = own
     escaped = ids[starts[chosen == ESCAPE]]
     words[chosen == ESCAPE] |= np.arange(len(escaped), dtype=np.uint64)
     return words, escaped
@@ -106,52 +133,45 @@ class Writer:
 
     def __init__(self, out):
         self.out, self.at = out, 0
-        self.docs: list[int | None] = []
-        self.lengths: list[int] = []
+        self.docs: list[np.ndarray] = []
+        self.known: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
         self.blocks: list[tuple[int, int, int, int]] = []  # place, words, escapes, ids
-        self.waiting: list[np.ndarray] = []
-        self.held = 0
+        self.rest = np.empty(0, np.uint64)
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
-        self.lengths.append(len(ids))
-        self.waiting.append(ids)
-        self.held += len(ids)
-        if self.held >= 4 * BLOCK_IDS:
-            self._flush(False)
-
-    def _flush(self, rest: bool) -> None:
-        ids = np.concatenate(self.waiting) if self.waiting else np.empty(0, np.uint64)
-        lo = 0
-        while lo + BLOCK_IDS <= len(ids) or rest and lo < len(ids):
-            part = ids[lo : lo + BLOCK_IDS]
-            words, escaped = encode_block(part)
-            self.blocks.append((self.at, len(words), len(escaped), len(part)))
-            self._put(words.astype("<u8").tobytes())
-            self._put(escaped.astype("<u8").tobytes())
-            lo += len(part)
-        self.waiting, self.held = [ids[lo:]], len(ids) - lo
+    def add(self, docs: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Documents and the number of ids of each; ``ids`` has those of all in a row."""
+        self.docs.append(np.array([d or 0 for d in docs], "<i8"))
+        self.known.append(np.array([d is not None for d in docs], "u1"))
+        self.lengths.append(np.asarray(lengths, "<i8"))
+        ids = np.concatenate([self.rest, ids.astype(np.uint64)])
+        whole = len(ids) // BLOCK_IDS * BLOCK_IDS
+        for lo in range(0, whole, BLOCK_IDS):
+            self._block(ids[lo : lo + BLOCK_IDS])
+        self.rest = ids[whole:].copy()
+
+    def _block(self, ids: np.ndarray) -> None:
+        words, escaped = encode_block(ids)
+        self.blocks.append((self.at, len(words), len(escaped), len(ids)))
+        self._put(words.astype("<u8").tobytes())
+        self._put(escaped.astype("<u8").tobytes())
 
     def close(self) -> dict:
-        self._flush(True)
-        docs = np.array([d or 0 for d in self.docs], "<i8").tobytes()
-        known = np.array([d is not None for d in self.docs], "u1").tobytes()
-        lengths = np.array(self.lengths, "<i8").tobytes()
-        blocks = np.array(self.blocks, "<i8").tobytes()
-        tables = docs + known + lengths + blocks
-        head = json.dumps(
-            {"docs": len(self.docs), "blocks": len(self.blocks), "tables": self.at, "crc32": zlib.crc32(tables)}
-        ).encode()
+        if len(self.rest):
+            self._block(self.rest)
+        docs, known, lengths = (np.concatenate([np.empty(0, k), *x]) for x, k in ((self.docs, "<i8"), (self.known, "u1"), (self.lengths, "<i8")))
+        tables = docs.tobytes() + known.tobytes() + lengths.tobytes() + np.array(self.blocks, "<i8").tobytes()
+        head = json.dumps({"docs": len(docs), "blocks": len(self.blocks), "tables": self.at, "crc32": zlib.crc32(tables)}).encode()
         self._put(tables)
         self._put(head)
         self._put(struct.pack("<I", len(head)) + MAGIC)
         self.out.close()
-        return {"n_docs": len(self.docs), "n_tokens": int(sum(self.lengths)), "n_bytes": self.at}
+        return {"n_docs": len(docs), "n_tokens": int(lengths.sum()), "n_bytes": self.at}
 
 
 class Reader:

@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,9 +131,9 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         encoder = word_ids(vocabulary)
         for batch in batches:
-            n = [len(r) // 4 for _, texts in slices(batch["text"]) for r in encoder.encode(texts)]
+            n = [np.empty(0, np.int64), *(encoder.encode(texts)[1] for _, texts in slices(batch["text"]))]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["source"], batch["lang"], pa.array(n, pa.int64())], ["doc_id", "source", "lang", "n_tokens"]
+                [batch["doc_id"], batch["source"], batch["lang"], pa.array(np.concatenate(n))], ["doc_id", "source", "lang", "n_tokens"]
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("binary"))

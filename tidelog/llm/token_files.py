@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import files
 from .common import Workspace, batch_bytes
 from .simple8b import Reader, Writer
-from .wordids import slices, word_ids
+from .wordids import slices, with_end, word_ids
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, ws: Workspace) -> DataFrame:
@@ -33,7 +33,6 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, ws: Workspa
     def write(batches):
         part = TaskContext.get().partitionId()
         writer, uri = None, None
-        end = np.array([end_id], np.uint64)
         encoder = word_ids(vocabulary)
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
@@ -41,8 +40,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, ws: Workspa
                 if writer is None:
                     uri = files.attempt_name(folder, part, ".s8b")
                     writer = Writer(files.open_write(uri))
-                for doc, raw in zip(ids[lo : lo + len(texts)], encoder.encode(texts), strict=True):
-                    writer.add(doc, np.concatenate([np.frombuffer(raw, "<u4").astype(np.uint64), end]))
+                flat, counts = with_end(*encoder.encode(texts), end_id)
+                writer.add(ids[lo : lo + len(texts)], counts, flat)
         if writer is not None:
             done = writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "uri": uri, **done}])
