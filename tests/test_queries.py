@@ -2,7 +2,7 @@ import pytest
 
 from tests.compare import same
 from tests.conftest import SF_ORACLE
-from tidelog.plans.catalogue import QUERIES, SQL
+from tidelog.plans.base import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

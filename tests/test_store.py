@@ -163,7 +163,7 @@ def test_metrics_row(store):
     write(store, (b"a", b"1"))
     store.get(b"a")
     store.scan().count()
-    text = metrics.snapshot_json(store.metrics(1.5)).first().json
+    text = metrics.snapshot_json(store.metrics(1.5, 0.0)).first().json
     assert text == (
         '{"writes_per_sec":1.50,"reads_per_sec":0.00,"compaction_count":0,"wal_size_bytes":15,"sstable_count":0,'
         f'"recovery_time_ms":{store.recovery_ms},"total_writes":1,"total_reads":1}}'
@@ -171,6 +171,30 @@ def test_metrics_row(store):
     assert metrics.parse_snapshot(text)["total_writes"] == 1
 
 
+def test_metrics_over_http(store):
+    import json
+    import urllib.error
+    import urllib.request
+
+    from tidelog.operators.endpoint import serve_metrics
+
+    write(store, (b"a", b"1"))
+    server = serve_metrics(store)
+    try:
+        with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/metrics") as r:
+            assert r.headers["Access-Control-Allow-Origin"] == "*" and r.headers["Content-Type"] == "application/json"
+            got = json.loads(r.read())
+        assert got["total_writes"] == 1 and list(got) == ["writes_per_sec", "reads_per_sec", *metrics.COUNTERS]
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/other")
+    finally:
+        server.shutdown()
+        server.server_close()
+    row = store.metrics(0.0, 0.0)
+    store.write_rate.seen.clear()
+    assert metrics.snapshot_json(row).first().json == store.snapshot_json()
+
+
 def test_sql_view(store):
     write(store, (b"a", b"1"), (b"b", None))
     store.view("kv")
@@ -194,6 +218,134 @@ def test_binary_sources(spark, tmp_path):
     assert spark.read.format("kvwal").load(str(log)).count() == 49
 
 
+def run_rows(spark, n=2000):
+    rows = spark.range(n).selectExpr("cast(format_string('k%06d', id) as binary) as key", "cast(id % 7 = 0 as int) as op", "if(id % 7 = 0, null, cast(concat('v', id) as binary)) as value")
+    return rows.coalesce(1).sortWithinPartitions("key")
+
+
+@pytest.mark.parametrize("kind, ending", [("kvwal", "log"), ("kvsst", "sst")])
+def test_appending_and_overwriting(spark, tmp_path, kind, ending):
+    binary.register(spark)
+    path = str(tmp_path / "out")
+    one = lambda k: spark.createDataFrame([(bytearray(k), 0, bytearray(b"v"))], "key binary, op int, value binary").coalesce(1)
+    held = lambda: sorted(bytes(r.key) for r in spark.read.format(kind).load(path).collect())
+    for k in (b"a", b"b"):
+        one(k).write.format(kind).mode("append").save(path)
+    assert held() == [b"a", b"b"] and len(list((tmp_path / "out").glob(f"*_0000000[12].{ending}"))) == 2
+    one(b"c").write.format(kind).mode("overwrite").save(path)
+    assert held() == [b"c"] and [p.name[-5 - len(ending) :] for p in (tmp_path / "out").glob(f"*.{ending}")] == [f"0003.{ending}"]
+    one(b"d").write.format(kind).mode("append").save(path)
+    assert held() == [b"c", b"d"]
+    if kind == "kvsst":
+        with pytest.raises(Exception, match="ascend"):
+            one(b"x").union(one(b"e")).coalesce(1).write.format(kind).mode("append").save(path)
+        assert held() == [b"c", b"d"] and not list((tmp_path / "out").glob(".*-*"))
+
+
+def test_key_predicates_reach_run_files(spark, tmp_path):
+    binary.register(spark)
+    path = str(tmp_path / "runs")
+    run_rows(spark).write.format("kvsst").mode("append").save(path)
+    table = spark.read.format("kvsst").load(path)
+    keys = lambda df: sorted(bytes(r.key).decode() for r in df.collect())
+    assert keys(table.where(F.col("key") == bytearray(b"k000777"))) == ["k000777"]
+    assert keys(table.where(F.col("key").isin(bytearray(b"k000001"), bytearray(b"zz"), bytearray(b"k001999")))) == ["k000001", "k001999"]
+    between = table.where((F.col("key") > bytearray(b"k000100")) & (F.col("key") <= bytearray(b"k000103")))
+    assert keys(between) == ["k000101", "k000102", "k000103"]
+    assert table.where(F.col("key") < bytearray(b"k")).count() == 0 and table.where("key is null").count() == 0
+    assert table.where(F.col("key") >= bytearray(b"k001990")).where("op = 0").count() == 9
+    run_file = next((tmp_path / "runs").glob("*.sst"))
+    with open(run_file, "rb") as f:
+        run = binary.RunFile(f, run_file.stat().st_size)
+        seen = []
+        run.records, whole = (lambda at=0: (seen.append(r) or r for r in whole(at))), run.records
+        assert [r[1] for r in run.get([b"k000777"])] == [b"k000777"] and len(seen) <= 16
+        seen.clear()
+        absent = [b"absent%d" % i for i in range(500)]
+        assert not list(run.get(absent)) and len(seen) < 500  # nearly all are ruled out by the filter
+        reader = binary._RunReader({"path": path}, ".sst")
+        reader.low, reader.high = b"k000500", b"k000509"
+        seen.clear()
+        assert len(list(reader._wanted(run))) == 10 and len(seen) <= 27
+
+
+def test_records_longer_than_what_is_read_at_once(monkeypatch):
+    monkeypatch.setattr(binary, "CHUNK", 50)
+    from tidelog.functions.codec import log_record
+
+    rows = [(b"k%03d" % i, b"v" * (i * 7 % 300), 0) for i in range(60)]
+    records, index, _ = binary.parse_run(binary.build_run(rows))
+    assert [r[1:] for r in records] == rows and len(index) == 4
+    assert [r.value for _, r in binary.parse_log(b"".join(log_record(*r) for r in rows))[0]] == [r[1] for r in rows]
+
+
+def test_overwriting_a_key_does_not_fill_the_buffer(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "small"), flush_bytes=60)
+    for i in range(8):
+        write(store, (b"same", b"12345"))
+    assert store.manifest.runs == [] and store.buffer_bytes() == 9 and store.log_bytes() == 8 * 22
+    write(store, *[(b"k%d" % i, b"123456789") for i in range(5)])
+    assert len(store.manifest.runs) == 1 and store.manifest.log == [] and store.buffer_bytes() == 0
+
+
+def test_rates_and_filters_of_a_store(store):
+    from tidelog.functions.bloom import BloomFilter
+    from tidelog.operators.store import Rate
+
+    now = [0.0]
+    rate = Rate(1.0, lambda: now[0])
+    rate.add(3)
+    now[0] = 1.0
+    rate.add(2)
+    assert rate.value() == 5  # the boundary is within
+    now[0] = 1.5
+    assert rate.value() == 2
+    now[0] = 3.0
+    assert rate.value() == 0
+    store.write_rate = Rate(1e9)
+    write(store, *[(b"k%02d" % i, b"v") for i in range(50)])
+    assert store.metrics().first().writes_per_sec == 50 / 1e9
+    store.flush()
+    run = store.runs().first()
+    f = BloomFilter.of([b"k%02d" % i for i in range(50)])
+    assert (run.n_bits, run.n_hashes) == (f.bits, f.hashes) and 0.005 < run.expected_fpr < 0.02
+    store.export(f"{store.path}/out")
+    binary.register(store.spark)
+    back = store.spark.read.format("kvsst").load(f"{store.path}/out/00000001")
+    assert back.count() == 50 and back.where(F.col("key") == bytearray(b"k07")).count() == 1
+
+
+def test_number_keys_are_lossless_and_in_order(spark):
+    from tidelog.sources.changelog import key_of, ordered_key
+
+    numbers = [-(1 << 63), -12345678902, -5, -1, 0, 7, 41, 12345678901, 12345678902, (1 << 63) - 1]
+    rows = spark.createDataFrame([(n,) for n in reversed(numbers)], "n long").select("n", ordered_key(F.col("n")).alias("key"))
+    assert [r.n for r in rows.orderBy("key").collect()] == numbers
+    assert all(r.key == key_of(r.n) and len(r.key) == 20 for r in rows.collect())
+
+
+def test_folds_go_on_across_batches(spark):
+    """One group over many Arrow batches, others between; against the same fold in Python."""
+    from tidelog.operators.introspect import flush_epochs
+
+    rows = spark.range(5000).selectExpr("id as seq", "if(id % 4 = 0, 'b', 'a') as store", "concat('k', pmod(id * 7919, 37)) as key", "0 as op", "repeat('x', int(id % 23)) as value")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r.store, r.seq): r.epoch for r in flush_epochs(rows, 300).collect()}
+        last = metrics.ema(rows.selectExpr("seq as poll", "store", "length(value) as raw"), "raw", by="store").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, state, average = {}, {}, {}
+    for r in rows.orderBy("seq").collect():
+        held, epoch = state.setdefault(r.store, [{}, 0])
+        held[r.key] = len(r.key) + len(r.value)
+        want[(r.store, r.seq)] = epoch
+        if sum(held.values()) >= 300:
+            state[r.store] = [{}, epoch + 1]
+        average[r.store] = int(average.get(r.store, 0) * 0.75 + len(r.value) * 0.25 + 0.5)
+    assert got == want and {r.store: r.ema for r in last} == average
+
+
 def test_stream_ingest(spark, tmp_path):
     from tidelog.streaming.ingest import ingest
 

@@ -85,16 +85,32 @@ class BloomFilter:
         out.add(keys)
         return out
 
+    @classmethod
+    def of_hashes(cls, h1: np.ndarray, h2: np.ndarray, rate: float = 0.01) -> BloomFilter:
+        """The same from both hashes of each key."""
+        out = cls(*sizing(len(h1), rate))
+        for at in range(0, len(h1), 1 << 16):
+            out._set(out._places(h1[at : at + (1 << 16)], h2[at : at + (1 << 16)]))
+        return out
+
     def places(self, keys: list[bytes]) -> np.ndarray:
-        h1, h2 = hash_pairs(keys)
+        return self._places(*hash_pairs(keys))
+
+    def _places(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         return (h1[:, None] + np.arange(self.hashes, dtype=np.uint64) * h2[:, None]) % np.uint64(self.bits)
 
     def add(self, keys: list[bytes]) -> None:
-        at = self.places(keys).ravel()
+        self._set(self.places(keys))
+
+    def _set(self, places: np.ndarray) -> None:
+        at = places.ravel()
         np.bitwise_or.at(self.data, (at >> np.uint64(3)).astype(np.intp), (1 << (at & np.uint64(7))).astype(np.uint8))
 
     def maybe(self, keys: list[bytes]) -> np.ndarray:
-        at = self.places(keys)
+        return self.maybe_hashes(*hash_pairs(keys))
+
+    def maybe_hashes(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        at = self._places(h1, h2)
         return ((self.data[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(1)
 
     def encode(self) -> bytes:

@@ -54,6 +54,15 @@ def index_entry(key: bytes, place: int) -> bytes:
     return u32(len(key)) + key + u64(place)
 
 
+def log_record_size(head: bytes) -> int:
+    """Bytes of the log record that begins with this head."""
+    return LOG_HEAD + read_u32(head, 4) + read_u32(head, 8)
+
+
+def run_record_size(head: bytes) -> int:
+    return RUN_HEAD + read_u32(head) + read_u32(head, 4)
+
+
 def read_log_record(raw: bytes, at: int = 0) -> LogRecord | str:
     """The record at a place, or why there is none: short_header, short_body or crc."""
     if len(raw) - at < LOG_HEAD:
@@ -81,5 +90,9 @@ def read_run_record(raw: bytes, at: int, end: int) -> tuple[bytes, bytes | None,
     return key, None if op else raw[at + size - n_value : at + size], DELETE if op else PUT, size
 
 
+def log_name(number: int) -> str:
+    return f"wal_{number:08d}.log"
+
+
 def run_name(number: int) -> str:
     return f"sst_{number:08d}.sst"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bloom import sizing_columns
 from ..functions.codec import LOG_HEAD, RUN_HEAD, SPARSE_STRIDE
+from .metrics import fold_in_order
 from .resolve import latest
 
 
@@ -102,25 +103,23 @@ def valid_prefix(log: DataFrame, valid: Column) -> DataFrame:
 
 def flush_epochs(log: DataFrame, threshold: int, store: str = "store") -> DataFrame:
     """The buffer that each change goes to: one is flushed when its bytes reach the
-    threshold, and the next begins empty. A fold in order, for each store on its own."""
+    threshold, and the next begins empty. A fold in order, for each store on its own; its
+    state is a buffer's keys, which the threshold bounds."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[bytes, int] = {}
-        size = epoch = 0
+    def fold(state, part: pd.DataFrame):
+        held, size, epoch = state
         out = []
-        for key, add in zip(pdf["key"], pdf["_size"], strict=True):
+        for key, add in zip(part["key"], part["_size"], strict=True):
             size += int(add) - held.get(key, 0)
             held[key] = int(add)
             out.append(epoch)
             if size >= threshold:
                 held, size, epoch = {}, 0, epoch + 1
-        return pd.DataFrame({store: pdf[store], "seq": pdf["seq"], "epoch": out})
+        return (held, size, epoch), pd.DataFrame({store: part[store], "seq": part["seq"], "epoch": out})
 
     rows = log.select(store, "seq", "key", payload().alias("_size"))
     kind = dict(rows.dtypes)
-    return rows.groupBy(store).applyInPandas(
-        lambda pdf: fold(pdf.sort_values("seq")), f"{store} {kind[store]}, seq {kind['seq']}, epoch long"
-    )
+    return fold_in_order(rows, [store], "seq", fold, lambda: ({}, 0, 0), f"{store} {kind[store]}, seq {kind['seq']}, epoch long")
 
 
 def write_amplification(log: DataFrame) -> DataFrame:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,15 +49,45 @@ def deltas(polls: DataFrame, counter: str, order: str = "poll", by: str | None =
     return polls.withColumn("delta", F.greatest(F.lit(0).cast("long"), F.col(counter) - F.lag(counter, 1, 0).over(w)))
 
 
-def half_up(x: Column) -> Column:
-    return F.floor(x + 0.5).cast("double")
+def fold_in_order(rows: DataFrame, by: list[str], order: str, step: Callable, start: Callable, schema: str) -> DataFrame:
+    """A fold over each group's rows in their order. ``start()`` makes a state, ``step(state,
+    part)`` takes a pandas frame of a group's next rows and gives (state, frame or None).
+    Groups are dealt out and sorted by Spark, whose sort spills, and go by in Arrow batches:
+    a task holds a batch and one state, however many rows a group has."""
+
+    def run(batches):
+        last, state = None, None
+        for pdf in batches:
+            keys = pdf[by].apply(tuple, axis=1) if by else pd.Series([()] * len(pdf))
+            cuts = [0, *(np.flatnonzero((keys != keys.shift()).to_numpy()[1:]) + 1).tolist(), len(pdf)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if last is None or keys.iloc[lo] != last:
+                    last, state = keys.iloc[lo], start()
+                state, out = step(state, pdf.iloc[lo:hi])
+                if out is not None:
+                    yield out
+
+    dealt = rows.repartition(*by) if by else rows.repartition(1)
+    return dealt.sortWithinPartitions(*by, order).mapInPandas(run, schema)
 
 
 def ema(polls: DataFrame, value: str, order: str = "poll", by: str | None = None, smoothing: float = SMOOTHING) -> DataFrame:
-    """The average after the last poll, rounded to a whole number at every poll."""
-    series = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double"))
-    fold = F.aggregate(series, F.lit(0.0), lambda s, x: half_up(s * (1 - smoothing) + x * smoothing))
-    return polls.groupBy(*([by] if by else [])).agg(fold.alias("ema"))
+    """The average after the last poll, rounded to a whole number at every poll. Each poll's
+    average is told, and the one of the last poll kept."""
+    groups = [by] if by else []
+    kinds = dict(polls.dtypes)
+
+    def step(state: float, part: pd.DataFrame):
+        for x in part[value].to_numpy(float):
+            state = math.floor(state * (1 - smoothing) + x * smoothing + 0.5)
+        return state, pd.DataFrame({**({by: part[by].iloc[-1:].to_numpy()} if by else {}), "at": part[order].iloc[-1:].to_numpy(), "ema": [float(state)]})
+
+    told = fold_in_order(
+        polls.select(*groups, order, value), groups, order, step, lambda: 0.0, "".join(f"{c} {kinds[c]}, " for c in groups) + f"at {kinds[order]}, ema double"
+    )
+    return told.groupBy(*groups).agg(F.coalesce(F.max_by("ema", "at"), F.lit(0.0)).alias("ema"))
 
 
 def rolling_series(polls: DataFrame, n: int = 40, order: str = "poll") -> DataFrame:
@@ -80,6 +114,11 @@ def metric_events(polls: DataFrame, order: str = "poll", by: str | None = None)
     )
 
 
+def recent_events(events: DataFrame, n: int = 6, order: str = "poll") -> DataFrame:
+    """The newest events; of one poll, in the order of their names, the last first."""
+    return events.orderBy(F.col(order).desc(), F.col("event").desc()).limit(n)
+
+
 def snapshot_json(snapshots: DataFrame) -> DataFrame:
     """The snapshot text: eight fields, rates at two decimals."""
     rates = [F.format_string(f'"{c}":%.2f', F.col(c).cast("double")) for c in ("writes_per_sec", "reads_per_sec")]

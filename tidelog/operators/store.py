@@ -15,20 +15,25 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bloom import expected_rate, sizing
 from . import resolve
-from .introspect import payload
+from .introspect import memtable_bytes, payload
 
 #: Fixed values of the engine: runs that start a compaction, and how many it merges.
 COMPACT_AT, MERGE_AT_MOST = 4, 4
 FLUSH_BYTES = 4 << 20
 ORDER_BITS = 40
 LOG_SEGMENT = (1 << 63) - 1
+RUN = "id long, dir string, n_rows long, n_tombstones long, min_key string, max_key string, n_bytes long, n_bits long, n_hashes int, expected_fpr double"
+#: False positives that a run's filter is sized for, and the seconds that rates look back.
+FILTER_RATE, RATE_SECONDS = 0.01, 1.0
 ROWS = "segment long, seq long, op byte, key binary, value binary"
 TARGET_BYTES = 256 << 20
 
@@ -45,7 +50,7 @@ class Corruption(StoreError):
 class Manifest:
     version: int = 0
     log: list[dict] = field(default_factory=list)  # dir, n_bytes
-    runs: list[dict] = field(default_factory=list)  # oldest first: id, dir, n_rows, n_tombstones, min_key, max_key, n_bytes
+    runs: list[dict] = field(default_factory=list)  # oldest first: the columns of ``RUN``
     next_batch: int = 1
     next_run: int = 1
     compactions: int = 0
@@ -53,11 +58,34 @@ class Manifest:
     sources: dict[str, int] = field(default_factory=dict)  # last batch taken from a stream
 
 
+class Rate:
+    """How many in a second, over the last ``seconds``."""
+
+    def __init__(self, seconds: float = RATE_SECONDS, now: Callable[[], float] = time.monotonic):
+        self.seconds, self.now, self.seen = seconds, now, deque()
+
+    def add(self, n: int) -> None:
+        self.seen.append((self.now(), n))
+        self._forget()
+
+    def _forget(self) -> None:
+        while self.seen and self.now() - self.seen[0][0] > self.seconds:
+            self.seen.popleft()
+
+    def value(self) -> float:
+        self._forget()
+        return sum(n for _, n in self.seen) / self.seconds
+
+
 class Store:
+    """``flush_bytes`` is the size of the buffer at which a write flushes: the keys and values
+    of the newest rows of the log, so overwriting a key doesn't fill it."""
+
     def __init__(self, spark: SparkSession, path: str, flush_bytes: int = FLUSH_BYTES, version: int | None = None):
         self.spark, self.path, self.flush_bytes, self.version = spark, path.rstrip("/"), flush_bytes, version
         self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
-        self.reads = self.scans = 0
+        self.reads = self.scans = 0  # since the store was opened
+        self.write_rate, self.read_rate = Rate(), Rate()
         began = time.monotonic()
         self.manifest = self._load(version)
         for part in [*self.manifest.log, *self.manifest.runs]:
@@ -121,11 +149,17 @@ class Store:
         return found.where(resolve.in_range(start, end)) if start is not None or end is not None else found
 
     def get(self, key: bytes) -> bytes | None:
-        self.reads += 1
+        self._read(1)
         row = resolve.get(self.rows(key, key + b"\0"), key).select("value").first()
         return None if row is None else bytes(row.value or b"")
 
+    def _read(self, n: int) -> None:
+        self.reads += n
+        self.read_rate.add(n)
+
     def get_many(self, probes: DataFrame) -> DataFrame:
+        """Counts as one read: how many keys there are isn't known before they are read."""
+        self._read(1)
         return resolve.get_many(self.rows(), probes)
 
     def scan(self, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
@@ -163,6 +197,7 @@ class Store:
         written = self.spark.read.schema(ROWS).parquet(f"{self.path}/{name}")
         n = written.agg(
             F.count(F.lit(1)).alias("n"), F.count("key").alias("keys"), F.coalesce(F.sum(payload(13)), F.lit(0)).alias("size"),
+            F.coalesce(F.sum(payload()), F.lit(0)).alias("held"),
             F.coalesce(F.max(F.col("seq") - (new.next_batch << ORDER_BITS)), F.lit(0)).alias("top"), F.coalesce(F.min(F.col("seq") - (new.next_batch << ORDER_BITS)), F.lit(0)).alias("low"),
         ).first()
         if n.keys != n.n:
@@ -171,16 +206,25 @@ class Store:
             raise StoreError("an order out of range")
         if not resolve.unique_versions(written):
             raise StoreError("two changes to one key with the same order")
-        new.log.append({"dir": name, "n_bytes": n["size"]})
+        new.log.append({"dir": name, "n_bytes": n["size"], "held": n.held})
         new.next_batch += 1
         new.writes += n.n
         if source is not None:
             new.sources[source] = source_batch
         self._publish(new)
-        if self.log_bytes() >= self.flush_bytes:
+        self.write_rate.add(n.n)
+        # A buffer is no larger than what was written to it; only then its own size is counted.
+        if sum(x["held"] for x in new.log) >= self.flush_bytes and self.buffer_bytes() >= self.flush_bytes:
             self.flush()
         return True
 
+    def _log_rows(self) -> DataFrame:
+        return self.spark.read.schema(ROWS).parquet(*[f"{self.path}/{x['dir']}" for x in self.manifest.log])
+
+    def buffer_bytes(self) -> int:
+        """Bytes of the newest row of each key in the log: what the next run is made of."""
+        return memtable_bytes(self._log_rows()).first().n_bytes if self.manifest.log else 0
+
     def put(self, rows: DataFrame) -> bool:
         return self.write(rows.withColumn("op", F.lit(0)))
 
@@ -204,15 +248,18 @@ class Store:
         )
         if not s.n:
             return None
-        return {"id": number, "dir": name, "n_rows": s.n, "n_tombstones": s.dead, "min_key": s.low, "max_key": s.high, "n_bytes": s["size"]}
+        bits, hashes = sizing(s.n, FILTER_RATE)
+        return {
+            "id": number, "dir": name, "n_rows": s.n, "n_tombstones": s.dead, "min_key": s.low, "max_key": s.high, "n_bytes": s["size"],
+            "n_bits": bits, "n_hashes": hashes, "expected_fpr": expected_rate(bits, hashes, s.n),
+        }
 
     def flush(self, compact: bool = True) -> bool:
         """The log's newest rows become a run. Nothing happens without a log."""
         if not self.manifest.log:
             return False
         new = self._next()
-        log = self.spark.read.schema(ROWS).parquet(*[f"{self.path}/{x['dir']}" for x in new.log])
-        run = self._write_run(resolve.latest(log), new.next_run)
+        run = self._write_run(resolve.latest(self._log_rows()), new.next_run)
         if run:
             new.runs.append(run)
             new.next_run += 1
@@ -260,18 +307,40 @@ class Store:
         return sum(x["n_bytes"] for x in self.manifest.log)
 
     def runs(self) -> DataFrame:
-        schema = "id long, dir string, n_rows long, n_tombstones long, min_key string, max_key string, n_bytes long"
-        return self.spark.createDataFrame([tuple(r[c] for c in ("id", "dir", "n_rows", "n_tombstones", "min_key", "max_key", "n_bytes")) for r in self.manifest.runs], schema)
-
-    def metrics(self, writes_per_sec: float = 0.0, reads_per_sec: float = 0.0) -> DataFrame:
-        """One row; ``metrics.snapshot_json`` makes its text."""
+        """The runs, oldest first, with the size, hashes and expected rate of the filter that
+        ``export`` gives each of them."""
+        names = [c.split()[0] for c in RUN.split(", ")]
+        return self.spark.createDataFrame([tuple(r[c] for c in names) for r in self.manifest.runs], RUN)
+
+    def export(self, path: str) -> None:
+        """The runs as run files of the byte layout, a folder for each run."""
+        from ..sources import binary
+
+        binary.register(self.spark)
+        for r in self.manifest.runs:
+            rows = self.spark.read.schema(ROWS).parquet(f"{self.path}/{r['dir']}").select("key", "op", "value")
+            files = max(1, -(-r["n_bytes"] // TARGET_BYTES))
+            rows.repartitionByRange(files, "key").sortWithinPartitions("key").write.format("kvsst").mode("append").save(f"{path}/{r['id']:08d}")
+
+    def snapshot(self) -> dict[str, float]:
+        """The counters and the rates of the last second, without a Spark job."""
         m = self.manifest
-        row = (writes_per_sec, reads_per_sec, m.compactions, self.log_bytes(), len(m.runs), self.recovery_ms, m.writes, self.reads, self.scans)
-        return self.spark.createDataFrame(
-            [row],
-            "writes_per_sec double, reads_per_sec double, compaction_count long, wal_size_bytes long, sstable_count long, "
-            "recovery_time_ms long, total_writes long, total_reads long, total_scans long",
-        )
+        return {
+            "writes_per_sec": self.write_rate.value(), "reads_per_sec": self.read_rate.value(), "compaction_count": m.compactions, "wal_size_bytes": self.log_bytes(),
+            "sstable_count": len(m.runs), "recovery_time_ms": self.recovery_ms, "total_writes": m.writes, "total_reads": self.reads,
+        }
+
+    def snapshot_json(self) -> str:
+        """The text that ``metrics.snapshot_json`` makes of such a row."""
+        return "{" + ",".join(f'"{k}":{v:.2f}' if k.endswith("_per_sec") else f'"{k}":{v}' for k, v in self.snapshot().items()) + "}"
+
+    def metrics(self, writes_per_sec: float | None = None, reads_per_sec: float | None = None) -> DataFrame:
+        """One row; ``metrics.snapshot_json`` makes its text. Rates are those of the last second,
+        unless others are given."""
+        given = {"writes_per_sec": writes_per_sec, "reads_per_sec": reads_per_sec}
+        row = self.snapshot() | {k: v for k, v in given.items() if v is not None} | {"total_scans": self.scans}
+        kinds = ", ".join(f"{k} {'double' if k.endswith('_per_sec') else 'long'}" for k in row)
+        return self.spark.createDataFrame([tuple(row.values())], kinds)
 
 
 def changes_of(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:

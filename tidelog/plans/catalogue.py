@@ -2,49 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bloom, codec
 from ..operators import introspect, metrics, resolve
-from ..sources.changelog import conversations_log, events_log, orders_log, table
+from ..sources.changelog import conversations_log, events_log, key_of, ordered_key, orders_log, table
 from ..streaming.ingest import live_latest, live_rate
+from .base import CL, SIZE, key_sql, query
+from .filter_sql import FILTERS
 
-START, END, KEY = "0000000003", "0000000041", "0000000007"
-PROBES = (KEY, "0000000001", "0000000002", "0000000008", "9999999999", "")
+START, END, KEY = key_of(3), key_of(41), key_of(7)
+PROBES = (KEY, key_of(1), key_of(2), key_of(8), key_of(99999999999), "")
+PREFIX = key_of(10)[:-1]
 AS_OF = 5000
-FLUSH_AT = 2000
+SMALL_BUFFER = 100
 BAD_EVERY = 997  # the planted bad record of the replay query: the first seq of this remainder and an error
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-CL = """
-WITH cl AS (
-  SELECT event_id // 1000 AS segment, event_id AS seq, (event_type = 'error')::INT AS op,
-         lpad(user_id::VARCHAR, 10, '0') AS key, props AS value, ts
-  FROM events
-), top AS (
-  SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY segment DESC, seq DESC) AS rn FROM cl) WHERE rn = 1
-), flat AS (
-  SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY segment, key ORDER BY seq DESC) AS rn FROM cl) WHERE rn = 1
-)
-"""
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
-        if sql is not None:
-            SQL[name or f.__name__] = sql
-        return f
-
-    return add
-
-
 @query(CL + f"SELECT key, value FROM top WHERE key = '{KEY}' AND op = 0")
 def kv_get(spark, sf):
     return resolve.get(events_log(spark, sf), KEY).select("key", "value")
@@ -60,12 +34,12 @@ def kv_get_many(spark, sf):
 
 @query(
     "WITH l AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) "
-    "SELECT lpad(c_custkey::VARCHAR, 10, '0') AS key, CASE WHEN o_custkey IS NULL THEN 'absent' WHEN o_orderstatus = 'F' THEN 'deleted' ELSE 'live' END AS status, "
+    f"SELECT {key_sql('c_custkey')} AS key, CASE WHEN o_custkey IS NULL THEN 'absent' WHEN o_orderstatus = 'F' THEN 'deleted' ELSE 'live' END AS status, "
     "CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS value FROM customer LEFT JOIN l ON c_custkey = o_custkey AND rn = 1"
 )
 def kv_get_many_orders(spark, sf):
     """Every customer's latest order, as a batch lookup."""
-    probes = table(spark, sf, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("key"))
+    probes = table(spark, sf, "customer").select(ordered_key(F.col("c_custkey")).alias("key"))
     return resolve.get_many(orders_log(spark, sf), probes)
 
 
@@ -84,10 +58,10 @@ def kv_scan_inverted(spark, sf):
     return resolve.scan(events_log(spark, sf), END, START).select("key", "value")
 
 
-@query(CL + "SELECT key, value FROM top WHERE op = 0 AND key >= '000000001' AND key < '000000002'")
+@query(CL + f"SELECT key, value FROM top WHERE op = 0 AND starts_with(key, '{PREFIX}')")
 def kv_scan_prefix(spark, sf):
     log = events_log(spark, sf).withColumn("key", F.col("key").cast("binary"))
-    return resolve.scan_prefix(log, b"000000001").select(F.col("key").cast("string").alias("key"), "value")
+    return resolve.scan_prefix(log, PREFIX.encode()).select(F.col("key").cast("string").alias("key"), "value")
 
 
 @query(CL + "SELECT key, value FROM top WHERE op = 0 ORDER BY key LIMIT 10")
@@ -118,7 +92,7 @@ def kv_as_of(spark, sf):
 
 
 @query(
-    "SELECT lpad(conv_id::VARCHAR, 10, '0') AS key, text AS value FROM "
+    f"SELECT {key_sql('conv_id')} AS key, text AS value FROM "
     "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1"
 )
 def kv_last_turn(spark, sf):
@@ -154,9 +128,6 @@ def kv_read_amp(spark, sf):
     return introspect.read_amplification(events_log(spark, sf))
 
 
-SIZE = "(strlen(key) + CASE WHEN op = 0 THEN coalesce(strlen(value), 0) ELSE 0 END)"
-
-
 @query(
     CL + "SELECT segment, count(*) AS n_rows, count(*) FILTER (op <> 0) AS n_tombstones, min(key) AS min_key, max(key) AS max_key, "
     f"sum({SIZE} + 9)::BIGINT AS n_bytes FROM flat GROUP BY segment"
@@ -276,17 +247,25 @@ def kv_ema(spark, sf):
     return metrics.ema(polls(spark, sf), "day_writes")
 
 
-@query(
+EVENTS = (
     POLLS + ", w AS (SELECT *, lag(compaction_count, 1, 0) OVER (ORDER BY poll) AS c, lag(sstable_count, 1, 0) OVER (ORDER BY poll) AS r, "
     "coalesce(max((recovery_time_ms > 0)::INT) OVER (ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM p) "
-    "SELECT poll, 'compaction' AS event FROM w WHERE compaction_count > c UNION ALL "
+    ", e AS (SELECT poll, 'compaction' AS event FROM w WHERE compaction_count > c UNION ALL "
     "SELECT poll, 'flush' FROM w WHERE sstable_count > r AND sstable_count > 1 UNION ALL "
-    "SELECT poll, 'recovery' FROM w WHERE recovery_time_ms > 0 AND seen = 0"
+    "SELECT poll, 'recovery' FROM w WHERE recovery_time_ms > 0 AND seen = 0) "
 )
+
+
+@query(EVENTS + "SELECT * FROM e")
 def kv_metric_events(spark, sf):
     return metrics.metric_events(polls(spark, sf))
 
 
+@query(EVENTS + "SELECT * FROM e ORDER BY poll DESC, event DESC LIMIT 6")
+def kv_recent_events(spark, sf):
+    return metrics.recent_events(metrics.metric_events(polls(spark, sf)))
+
+
 @query(POLLS + "SELECT poll, total_writes FROM p ORDER BY poll DESC LIMIT 20")
 def kv_rolling_series(spark, sf):
     return metrics.rolling_series(polls(spark, sf), 20).select("poll", "total_writes")
@@ -306,21 +285,20 @@ def kv_snapshot_json(spark, sf):
 
 
 @query(
-    "WITH RECURSIVE c AS (SELECT lpad(user_id::VARCHAR, 10, '0') AS store, event_id AS seq, lpad(user_id::VARCHAR, 10, '0') || event_type AS key, "
-    "(10 + strlen(event_type) + CASE WHEN event_type <> 'error' THEN strlen(props) ELSE 0 END)::BIGINT AS size FROM events), "
+    f"WITH RECURSIVE c AS (SELECT {key_sql('user_id')} AS store, event_id AS seq, {key_sql('user_id')} || event_type AS key, "
+    "(20 + strlen(event_type) + CASE WHEN event_type <> 'error' THEN strlen(props) ELSE 0 END)::BIGINT AS size FROM events), "
     "o AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY seq) AS i FROM c), "
     "f AS (SELECT store, i, seq, CASE WHEN size >= 2000 THEN MAP {} ELSE MAP {key: size} END AS held, "
     "CASE WHEN size >= 2000 THEN 0 ELSE size END AS used, 0::BIGINT AS epoch, CASE WHEN size >= 2000 THEN 1 ELSE 0 END::BIGINT AS next FROM o WHERE i = 1 UNION ALL "
     "SELECT o.store, o.i, o.seq, CASE WHEN used + size - coalesce(held[key], 0) >= 2000 THEN MAP {} ELSE map_concat(held, MAP {key: size}) END, "
     "CASE WHEN used + size - coalesce(held[key], 0) >= 2000 THEN 0 ELSE used + size - coalesce(held[key], 0) END, next, "
     "next + CASE WHEN used + size - coalesce(held[key], 0) >= 2000 THEN 1 ELSE 0 END FROM f JOIN o ON o.store = f.store AND o.i = f.i + 1) "
-    "SELECT store, seq, epoch FROM f".replace("2000", "60")
+    "SELECT store, seq, epoch FROM f".replace("2000", str(SMALL_BUFFER))
 )
 def kv_flush_epochs(spark, sf):
     """A store for each user, whose keys are their event types, with a small buffer."""
-    log = events_log(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("seq"), "event_type"), "seq")
-    log = log.withColumn("store", F.col("key")).withColumn("key", F.concat("key", "event_type"))
-    return introspect.flush_epochs(log, 60)
+    log = events_log(spark, sf).withColumn("store", F.col("key")).withColumn("key", F.concat("key", "event_type"))
+    return introspect.flush_epochs(log, SMALL_BUFFER)
 
 
 @query(
@@ -331,11 +309,11 @@ def kv_write_amp(spark, sf):
     return introspect.write_amplification(events_log(spark, sf)).withColumn("amplification", F.round("amplification", 9))
 
 
-@query()
+@query(CL + ", keys AS (SELECT segment, key FROM flat)," + FILTERS)
 def kv_bloom_build(spark, sf):
-    """Each run's filter: checked against the filter's own arithmetic in the tests."""
+    """Each run's filter, bit for bit."""
     flat = introspect.flat(events_log(spark, sf)).withColumn("key", F.col("key").cast("binary"))
-    return bloom.build_by_run(flat).select("segment", F.length("filter").cast("long").alias("n_bytes"), F.crc32("filter").alias("crc32"))
+    return bloom.build_by_run(flat).select("segment", F.length("filter").cast("long").alias("n_bytes"), F.sha2("filter", 256).alias("filter_sha256"))
 
 
 @query(

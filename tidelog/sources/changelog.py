@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ordered_key(c: Column, width: int = 10) -> Column:
-    """A text key whose order is that of non-negative numbers."""
-    return F.lpad(c.cast("string"), width, "0")
+def ordered_key(c: Column) -> Column:
+    """A text key for a whole number of 64 bits, one for each number and in their order:
+    0 or 1 for its sign, then 19 digits, of a negative one those of its distance from the least."""
+    n = c.cast("long")
+    return F.concat(F.when(n < 0, "0").otherwise("1"), F.lpad(n.bitwiseAND(F.lit((1 << 63) - 1)).cast("string"), 19, "0"))
+
+
+def key_of(n: int) -> str:
+    """The same for a number at hand."""
+    return ("0" if n < 0 else "1") + str(n & (1 << 63) - 1).rjust(19, "0")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +31,7 @@ def events_log(spark: SparkSession, sf_dir: str, run_rows: int = 1000) -> DataFr
         ordered_key(F.col("user_id")).alias("key"),
         F.col("props").alias("value"),
         "ts",
+        "event_type",
     )
 
 

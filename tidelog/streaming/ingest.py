@@ -32,6 +32,21 @@ def live_latest(changes: DataFrame) -> DataFrame:
     return changes.groupBy("key").agg(F.max(F.struct("seq", "op", "value")).alias("last")).select("key", "last.seq", "last.op", "last.value")
 
 
+def tabulate(aggregated: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a streaming aggregation over what there is, and gives its whole result as a
+    table. Each micro-batch writes a folder of its own; the last one's is read."""
+    spark, schema = aggregated.sparkSession, aggregated.schema
+    done: list[int] = []
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{n}")
+        done.append(n)
+
+    query = aggregated.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put)
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/{max(done)}") if done else spark.createDataFrame([], schema)
+
+
 def rate_changes(spark, rows_per_second: int = 200) -> DataFrame:
     """An endless stream of puts, for demonstrations: ``live_00000000`` and so on."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
