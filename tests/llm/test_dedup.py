@@ -86,7 +86,8 @@ def test_a_large_group_is_split_and_joined_again(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         runs = exact_dedup.sorted_runs(df, Workspace(spark, "t"))
-        assert runs.where("text = 'same'").select("__part").distinct().count() > 1
+        assert runs.rows.where("text = 'same'").select(runs.part).distinct().count() > 1
+        assert runs.rows.where(f"{runs.edge} is not null").count() <= 2 * runs.rows.select(runs.part).distinct().count()
         kept = exact_dedup.keepers(runs)
         assert kept.where("text = 'same'").collect()[0].doc_id == 2999 and kept.count() == 1001
         got = exact_dedup.dedup(df, Workspace(spark, "t"))
@@ -96,6 +97,48 @@ def test_a_large_group_is_split_and_joined_again(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+#: Names that the operators themselves take where they are free, of types that they don't have.
+CLASHING = {"__part": "x", "__run": 1.5, "__head": "no", "__SHA256": 7, "__edge": 1, "__lead": 3, "__fp": 5, "__row": "r", "__on": True, "__group": "g", "a.b": 2, "key": 9}
+
+
+def clashing(spark, rows):
+    kinds = {str: "string", float: "double", int: "int", bool: "boolean"}
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` {kinds[type(v)]}" for c, v in CLASHING.items())
+    return spark.createDataFrame([(*r, *CLASHING.values()) for r in rows], schema).repartition(3)
+
+
+def test_any_other_column_is_passed_on(spark):
+    docs = clashing(spark, [(1, "a b c d e"), (2, "a b c d e"), (3, None), (4, "f g h i j k")])
+    for got, ids in (
+        (exact_dedup.keepers(exact_dedup.sorted_runs(docs, Workspace(spark, "t"))), [2, 3, 4]),
+        (simhash.one_of_each(docs, Workspace(spark, "t")), [1, 3, 4]),
+    ):
+        assert got.schema == docs.schema
+        assert sorted(r.doc_id for r in got.collect()) == ids
+        assert all(tuple(r)[2:] == tuple(CLASHING.values()) for r in got.collect())
+    assert exact_dedup.dedup(docs, Workspace(spark, "t")).count() == simhash.simhash(docs, Workspace(spark, "t")).count() == 4
+
+
+def test_runs_that_cross_tasks_are_compared_in_full(spark, monkeypatch):
+    """With a digest that is the same for all texts, only full comparisons tell them apart."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(F, "sha2", lambda c, n: F.substring(F.lit("same digest"), 1, 11))
+    monkeypatch.setattr(exact_dedup, "SPLITTER_BYTES", 1)
+    rows = [(i, "x" + "abc"[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        runs = exact_dedup.sorted_runs(df, Workspace(spark, "t"))
+        assert runs.rows.select(runs.part).distinct().count() > 1
+        assert {r.all_n for r in runs.ends(runs.rows.groupBy(F.col(runs.part).alias("part"), F.col(runs.run).alias("run")).agg(F.count("*").alias("n"), F.max("doc_id").alias("id"))).collect()} <= set(range(1, 201))
+        got = exact_dedup.dedup(df, Workspace(spark, "t")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    texts = dict(rows)
+    assert all(texts[r.doc_id] == texts[r.keep_id] for r in got)
+
+
 # SimHash
 
 
@@ -195,6 +238,31 @@ def test_embeddings_by_brute_force(spark, kind, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("n, dim", [(1500, 16), (4000, 16), (3000, 64)])
+def test_recall_is_measured_without_a_vector_itself(spark, n, dim):
+    """Planted neighbours near the edge: what the index says of its recall holds, and what it
+    finds is at least 0.9 of all links."""
+    rng = np.random.default_rng(n + dim)
+    base = unit(rng.standard_normal((n, dim)))
+    x = np.concatenate([base, embedding_dedup.at_radius(base[::3], 0.91, 8)]).astype(np.float32)
+    links = slow_links(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    ws = Workspace(spark, "t")
+    _, distinct, _ = embedding_dedup.distinct_vectors(df, ws)
+    index = embedding_dedup.fit(distinct, "<f4", 0.9, embedding_dedup.RECALL)
+    assert 0 < index.pairs < 3 * embedding_dedup.QUERIES and index.recall >= embedding_dedup.RECALL
+    found = sum(r.n_links for r in embedding_dedup.near_dedup(df, ws).collect())
+    assert found >= 0.9 * links.sum()
+
+
+def test_no_neighbours_no_pairs(spark):
+    x = unit(np.random.default_rng(1).standard_normal((300, 32)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    _, distinct, _ = embedding_dedup.distinct_vectors(df, Workspace(spark, "t"))
+    index = embedding_dedup.fit(distinct, "<f8", 0.9, 0.98)
+    assert index.pairs == slow_links(x)[: embedding_dedup.QUERIES].sum() == 0 and index.limit > 0
+
+
 def test_traversal_goes_outward():
     rng = np.random.default_rng(0)
     index = embedding_dedup.MultiIndex.fit(unit(rng.standard_normal((500, 16))), 6)

@@ -84,7 +84,9 @@ def slow_rank(edges, seeds, rounds):
     return score
 
 
-def test_propagation_by_brute_force(spark):
+@pytest.mark.parametrize("most", [1 << 14, 2])
+def test_propagation_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "STEPS_OF_PART", most)
     rng = np.random.default_rng(2)
     pairs = {(f"h{a}", f"h{b}"): int(n) for a, b, n in zip(rng.integers(0, 30, 90), rng.integers(0, 30, 90), rng.integers(1, 9, 90), strict=True)}
     edges = [(*p, n) for p, n in pairs.items()]
@@ -124,7 +126,11 @@ def test_url_filter_cases(spark):
     assert url_filter.judge(pages(spark, rows[:1]).limit(0), Workspace(spark, "t")).count() == 0
 
 
-def test_url_filter_runs_no_python(spark):
-    df = url_filter.judge(pages(spark, [(1, "http://a.com/en/1", "")]), Workspace(spark, "t"))
-    plan = df._jdf.queryExecution().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+def test_url_filter_runs_no_python(spark, monkeypatch):
+    """Neither the result's plan nor that of any table written on the way to it."""
+    plans, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda ws, df, name: plans.append(df._jdf.queryExecution().toString()) or save(ws, df, name))
+    df = url_filter.judge(pages(spark, [(1, "http://a.com/en/1", "<a href='//b.org/es/'>")]), Workspace(spark, "t"))
+    plans.append(df._jdf.queryExecution().toString())
+    assert len(plans) > 10
+    assert not any(x in plan for plan in plans for x in ("Python", "Pandas", "Arrow", "MapPartitions"))

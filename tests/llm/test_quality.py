@@ -82,6 +82,75 @@ def test_held_out_labels_are_not_learned(spark):
     assert quality.fit(docs, labels).score("alpha") == quality.fit(docs, wrong).score("alpha")
 
 
+def test_training_by_its_rule():
+    """A score is softmax over the mean of vectors: the folded weights give what the vectors do,
+    and training by hand, step for step, gives the same weights."""
+    rng = np.random.default_rng(3)
+    docs = []
+    for _ in range(12):
+        at = np.sort(rng.choice(40, 6, replace=False))
+        part = rng.random(6)
+        docs.append((at, part / part.sum()))
+    labels, weight = np.array([i % 2 for i in range(12)]), rng.uniform(0.5, 2, 12)
+    model = quality.train(docs, labels, weight, epochs=3)
+    rng = np.random.default_rng(7)
+    dim, share = quality.DIM, (labels * weight).sum() / weight.sum()
+    vectors = rng.uniform(-1 / dim, 1 / dim, (quality.BUCKETS, dim)).tolist()
+    out, bias = rng.uniform(-1, 1, (dim, 2)).tolist(), [float(np.log(1 - share)), float(np.log(share))]
+    scale, step = weight / weight.mean(), 0
+    for _ in range(3):
+        for i in rng.permutation(12).tolist():
+            rate = quality.RATE * (1 - step / 36)
+            step += 1
+            hidden = [sum(p * vectors[a][d] for a, p in zip(*docs[i], strict=True)) for d in range(dim)]
+            z = [sum(hidden[d] * out[d][k] for d in range(dim)) + bias[k] for k in (0, 1)]
+            e = [np.exp(v - max(z)) for v in z]
+            miss = [scale[i] * (v / sum(e) - (k == labels[i])) for k, v in enumerate(e)]
+            back = [sum(out[d][k] * miss[k] for k in (0, 1)) for d in range(dim)]
+            for d in range(dim):
+                for k in (0, 1):
+                    out[d][k] -= min(rate, 0.5) * hidden[d] * miss[k]
+                for a, p in zip(*docs[i], strict=True):
+                    vectors[a][d] -= rate * p * back[d]
+            bias = [b - min(rate, 0.1) * 0.1 * m for b, m in zip(bias, miss, strict=True)]
+    want = [sum(v[d] * (out[d][1] - out[d][0]) for d in range(dim)) for v in vectors]
+    assert np.allclose(model.weights, want, atol=1e-9) and abs(model.bias - (bias[1] - bias[0])) < 1e-9
+    text = "a few words of text"
+    used = slow_features(text)
+    mean = sum(model.weights[u] for u in used) / len(used)
+    assert abs(model.score(text) - 1 / (1 + np.exp(-(mean + model.bias)))) < 1e-12
+
+
+CHAIN = "doc_id long, text string, lang string, source string, n_chars long, `__fp` string, `__part` int, `__row` double, score string, ids int"
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Nulls, repeated rows, empty and very long texts and other columns go through the whole
+    chain; of copies one document is left, and an empty table gives no pieces."""
+    labels = table(spark, SF, "labels")
+    good = [r.text for r in table(spark, SF, "documents").join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").limit(4).collect()]
+    rows = [(i, t) for i, t in enumerate(good)] + [(100 + i, t) for i, t in enumerate(good)] + [(0, good[0]), (None, good[1]), (200, None), (201, ""), (202, " ".join(good * 40))]
+    rows += [(300 + i, r.text) for i, r in enumerate(table(spark, SF, "documents").collect())]
+    docs = spark.createDataFrame([(*r, "en", None, 1, "f", 2, 0.5, "s", 3) for r in rows], CHAIN)
+    docs.repartition(3).write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    labels = labels.selectExpr("doc_id + 300 as doc_id", "quality")
+    for name, some in (("some", docs), ("none", docs.limit(0))):
+        sf = str(tmp_path / name)
+        if name == "none":
+            some.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        left = some
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, sf)
+            assert left.schema == some.schema
+            left = spark.createDataFrame(left.collect(), left.schema)
+        texts = [r.text for r in left.collect()]
+        assert len(set(texts)) == len(texts) and (name == "none") == (not texts)
+        out = corpus_pipeline.run(spark, sf).collect()
+        assert {r.doc_id for r in out} == {r.doc_id for r in left.collect()}
+        assert sum(r.length for r in out) == sum(r.doc_tokens for r in out if r.start == 0)
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     columns, n = docs.columns, [docs.count()]

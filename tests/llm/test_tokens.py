@@ -393,6 +393,30 @@ def test_rollup_deltas(spark):
     assert {(d.doc_id, d.tokenizer, d.n_tokens) for d in again.documents().collect()} == {(1, "t", 7), (2, "u", 6), (8, "t", 2), (6, "t", 0)}
 
 
+def test_folded_batches(spark, monkeypatch):
+    """Many batches, some folded, against a dictionary."""
+    monkeypatch.setattr(token_counts, "FOLD_AFTER", 3)
+    r = token_counts.TokenRollup(spark, Workspace(spark, "t").path("rollup"))
+    rng, held = np.random.default_rng(2), {}
+    for k in range(8):
+        rows = []
+        for d in rng.choice(10, 4, replace=False).tolist():
+            op, n, source = ["insert", "revise", "delete"][rng.integers(3)], int(rng.integers(1, 50)), "ab"[rng.integers(2)]
+            rows.append((op, 1, d, source, "en", "t", n))
+            if op == "delete":
+                held.pop(d, None)
+            else:
+                held[d] = (source, n)
+        assert r.commit(str(k), spark.createDataFrame(rows, CHANGES))
+    assert sum(bool(c.get("fold")) for c in r.commits()) == 2
+    want = {}
+    for source, n in held.values():
+        docs, tokens = want.get((source, "en", "t"), (0, 0))
+        want[(source, "en", "t")] = (docs + 1, tokens + n)
+    assert totals(r) == want and not r.commit("3", spark.createDataFrame([("insert", 1, 99, "a", "en", "t", 5)], CHANGES))
+    assert {(d.doc_id, d.n_tokens) for d in r.documents().collect()} == {(d, n) for d, (_, n) in held.items()}
+
+
 def test_a_failed_batch_leaves_nothing(spark, monkeypatch):
     r = token_counts.TokenRollup(spark, Workspace(spark, "t").path("rollup"))
     rows = spark.createDataFrame([("insert", 1, 1, "s", "en", "t", 10)], CHANGES)

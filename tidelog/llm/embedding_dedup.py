@@ -9,8 +9,15 @@ vector filed in a visited cell is verified by cosine in double precision.
 
 The limit is set for a target recall: the larger of the quantile over neighbours made
 at the very edge of the radius, and over the true neighbours of a sample of queries
-compared with all rows. Codebooks and limit are fitted on samples of at most
-``SAMPLE`` vectors and ``QUERIES`` queries; all rows are indexed and queried.
+compared with all rows but themselves; ``pairs`` and ``recall`` of the index say how
+many those were and how many of them it reaches. Codebooks and limit are fitted on
+samples of at most ``SAMPLE`` vectors and ``QUERIES`` queries; all rows are indexed and
+queried.
+
+Codes grow with the square root of the rows, so cells keep about ``CELL_ROWS`` rows, and
+the cells that a query visits grow about with that root too: entries and comparisons
+grow as the rows to the power 1.5. From ``MOST_CODES`` squared times ``CELL_ROWS`` rows on
+(200 million) cells grow with the rows, and comparisons with their square.
 
 Equal vectors are taken together first. Cells and their queries are cut into tiles of
 about ``TILE`` rows, so a crowded cell becomes many tasks, and a tile sends out sums
@@ -38,7 +45,9 @@ from .numpy_links import Blocks
 
 THRESHOLD, RECALL = 0.9, 0.98
 #: Bounds of what is fitted on, and of the codes for each half.
-SAMPLE, QUERIES, MOST_CODES = 20_000, 256, 512
+SAMPLE, QUERIES, MOST_CODES = 20_000, 256, 2048
+#: Cells whose table is broadcast, at most.
+BROADCAST_CELLS = 1 << 18
 CELL_ROWS, TILE, SIDE = 50, 4096, 1024
 BINS = 400  # of the traversal's order, whose values are below 1
 
@@ -62,6 +71,7 @@ class MultiIndex:
         # Equal codes cost nothing to change between; no gap is quite zero.
         self.gaps = [np.maximum(np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1)), 1e-9) for c in self.codes]
         self.limit = 0.0
+        self.pairs, self.recall = 0, 1.0  # true neighbours of the sampled queries, and the share that the limit reaches
 
     @classmethod
     def fit(cls, sample: np.ndarray, codes: int, rounds: int = 10) -> MultiIndex:
@@ -147,32 +157,35 @@ def fit(distinct: DataFrame, kind: str, threshold: float, recall: float) -> Mult
     share = min(1.0, SAMPLE / max(1, total))
     # Hashes pick the sample: about ``SAMPLE`` rows, and no more than half as many again.
     picked = distinct.where(F.pmod("h2", F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else distinct
-    sample = np.array([r.embedding for r in picked.select("embedding").limit(SAMPLE * 3 // 2).collect()], np.float64)
-    sample = to_units(pa.array([x.tobytes() for x in sample]), "<f8")
+    rows = picked.select("key", "embedding").limit(SAMPLE * 3 // 2).collect()
+    sample = to_units(pa.array([np.array(r.embedding, np.float64).tobytes() for r in rows]), "<f8")
     codes = int(min(MOST_CODES, max(4, round((total / CELL_ROWS) ** 0.5))))
     index = MultiIndex.fit(sample, codes)
     moves, _ = index.moves(sample)
     edge = index.order(moves, np.arange(len(sample)), index.moves(at_radius(sample, threshold))[1])
     index.limit = float(np.quantile(edge, recall)) + 1e-9
 
-    queries = sample[:QUERIES]
+    queries, own = sample[:QUERIES], np.array([r.key for r in rows[:QUERIES]])
     asked = [m[: len(queries)] for m in moves]
 
     def measure(batches):
         for batch in batches:
             unit = to_units(batch["vec"], kind)
             home = index.moves(unit)[1]
-            q, r = np.nonzero(queries @ unit.T >= threshold)
+            near = queries @ unit.T >= threshold
+            near &= own[:, None] != batch["key"].to_numpy()  # a vector isn't its own neighbour
+            q, r = np.nonzero(near)
             bins, n = np.unique((index.order(asked, q, home[r]) * BINS).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n.astype(np.int64))], ["bin", "n"])
 
     bins = packed(distinct, kind).mapInArrow(measure, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
-    want, had = recall * sum(r.n for r in bins), 0
+    index.pairs, had = sum(r.n for r in bins), 0
     for r in bins:  # at most a few hundred
-        had += r.n
-        if had >= want:
-            index.limit = max(index.limit, (r.bin + 1) / BINS) if r.bin > 0 else index.limit
+        if (r.bin + 1) / BINS > index.limit and had >= recall * index.pairs:
             break
+        had += r.n
+        index.limit = max(index.limit, (r.bin + 1) / BINS)
+    index.recall = had / index.pairs if index.pairs else 1.0
     return index
 
 
@@ -193,27 +206,31 @@ def near(distinct: DataFrame, index: MultiIndex, kind: str, ws: Workspace, thres
 
     def file(batches):
         for batch in batches:
-            key, n, vec, cell, home, asks = [], [], [], [], [], []
-            moves, homes = index.moves(to_units(batch["vec"], kind))
-            vecs = batch["vec"].to_pylist()
-            for i, (k, m) in enumerate(zip(batch["key"].to_pylist(), batch["n"].to_pylist(), strict=True)):
-                for c in index.visit(moves[0][i], moves[1][i]):
-                    key.append(k), n.append(m), vec.append(vecs[i]), cell.append(c), home.append(int(homes[i])), asks.append(True)
-                key.append(k), n.append(m), vec.append(vecs[i]), cell.append(int(homes[i])), home.append(int(homes[i])), asks.append(False)
-                if len(key) >= 20_000:
-                    yield pa.RecordBatch.from_pydict({"key": key, "n": n, "vec": vec, "cell": cell, "home": home, "asks": asks}, filed)
-                    key, n, vec, cell, home, asks = [], [], [], [], [], []
-            yield pa.RecordBatch.from_pydict({"key": key, "n": n, "vec": vec, "cell": cell, "home": home, "asks": asks}, filed)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                moves, homes = index.moves(to_units(part["vec"], kind))
+                cells = [list(index.visit(moves[0][i], moves[1][i])) for i in range(len(part))]
+                # Each vector asks in the cells that it visits, and is filed in its own.
+                n = [len(c) + 1 for c in cells]
+                row = pa.array(np.repeat(np.arange(len(part)), n))
+                cell = np.array([x for c, h in zip(cells, homes.tolist(), strict=True) for x in (*c, h)], np.int64)
+                asks = np.ones(len(cell), bool)
+                asks[np.cumsum(n) - 1] = False
+                yield pa.RecordBatch.from_arrays(
+                    [part["key"].take(row), part["n"].take(row), part["vec"].take(row), pa.array(cell), pa.array(np.repeat(homes, n)), pa.array(asks)], schema=filed
+                )
 
     filed = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("vec", pa.binary()), ("cell", pa.int64()), ("home", pa.int64()), ("asks", pa.bool_())])
     entries = ws.save(packed(distinct, kind).mapInArrow(file, "key long, n long, vec binary, cell long, home long, asks boolean"), "entries")
     tiles = lambda asks: F.ceil(F.count(F.when(F.col("asks") == asks, 1)) / F.lit(TILE))
-    # Only cells with something to verify; their number is bounded by the codes.
+    # Only cells with something to verify; there are as many as pairs of codes, at most.
     cells = entries.groupBy("cell").agg(tiles(True).alias("ask_tiles"), tiles(False).alias("home_tiles")).where("home_tiles > 0")
+    cells = ws.save(cells, "cells")
+    few = len(index.codes[0]) * len(index.codes[1]) <= BROADCAST_CELLS
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
     dealt = (
-        entries.join(F.broadcast(cells), "cell")  # at most MOST_CODES squared rows
+        entries.join(F.broadcast(cells) if few else cells, "cell")
         .withColumn("x", F.explode(F.when(F.col("asks"), every("home_tiles")).otherwise(F.array(own("home_tiles")))))
         .withColumn("y", F.explode(F.when(F.col("asks"), F.array(own("ask_tiles"))).otherwise(every("ask_tiles"))))
     )
@@ -268,12 +285,14 @@ def near_dedup(vectors: DataFrame, ws: Workspace, threshold: float = THRESHOLD,
     found = ws.save(near(distinct, index, kind, ws, threshold), "found")
     counts = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
     groups = connected_components(ws, found.where("b is not null").select("a", "b"))
-    named = (
+    # Written before they are joined, so that Spark can split a large component.
+    named = ws.save(
         distinct.select("h1", "h2", "key", "n", "least")
         .join(groups.withColumnRenamed("node", "key"), "key", "left")
-        .withColumn("component", F.coalesce("component", "key"))
+        .withColumn("component", F.coalesce("component", "key")),
+        "named",
     )
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = ws.save(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     info = (
         named.join(least, "component")
         .join(counts, "key", "left")

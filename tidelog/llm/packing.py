@@ -1,14 +1,14 @@
 """Packing documents into windows by non-negative least squares.
 
 A document is its ids and one end id; whole windows are cut off its front, and what
-is left, shorter than a window, is to be packed with others. Lengths are counted in
-buckets of a 64th of a window, each rounded up. Combinations of one to four buckets
-that fill a window are enumerated, all of them over the buckets there are;
-non-negative least squares (the active-set method) finds how often to repeat each so
-that the histogram is used up. Its solution has no more combinations than there are
-buckets, so counts are large enough to round. Rounded counts are taken as far as the
-documents go. The residue is packed greedily: it first fills up the planned windows,
-which rounding up left a little short, then windows of its own, by the longest piece
+is left, shorter than a window, is to be packed with others. Lengths are rounded to
+buckets of a 64th of a window. Combinations of one to four buckets that fill a window
+are enumerated, all of them over the buckets there are; non-negative least squares (the
+active-set method) finds how often to repeat each so that the histogram is used up. Its
+solution has no more combinations than there are buckets, so counts are large enough to
+round. Rounded counts are taken as far as the documents go, the shortest piece of each
+window being the longest that fits. The residue is packed greedily: it first fills up
+planned windows that are a little short, then windows of its own, by the longest piece
 that still fits; where none does, a document is cut to fill the window. If the residue
 doesn't suffice, planned windows are given back to it, the last first. The last,
 unfilled window is cut into sequences whose lengths are powers of two, which need no
@@ -42,8 +42,9 @@ WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 6_000_000
 #: Ids in a batch that a task hands on.
 BATCH_TOKENS = 500_000
-#: Buckets in a window, and lengths in a combination.
-BUCKETS, DEPTH = 64, 4
+#: Buckets in a window, lengths in a combination, and how many buckets lower an item may be
+#: than the plan says.
+BUCKETS, DEPTH, NEAR = 64, 4, 1
 
 
 def combinations(histogram: np.ndarray, whole: int) -> np.ndarray:
@@ -74,12 +75,10 @@ def repeats(histogram: np.ndarray, combos: np.ndarray) -> np.ndarray:
     combinations go out on the way to it."""
     h = histogram.astype(float)
     h[0] = 0
-    columns = np.zeros((len(combos), len(h)))
-    np.add.at(columns, (np.arange(len(combos))[:, None], combos), 1.0)
-    columns[:, 0] = 0
     x, inside = np.zeros(len(combos)), np.zeros(len(combos), bool)
+    rest = h.copy()  # of the histogram, what isn't used
     for _ in range(4 * len(h)):
-        gain = columns @ (h - x @ columns)
+        gain = rest[combos].sum(1)
         gain[inside] = -1
         best = int(gain.argmax())
         if gain[best] <= 1e-9 * max(1.0, h.max()):
@@ -87,7 +86,10 @@ def repeats(histogram: np.ndarray, combos: np.ndarray) -> np.ndarray:
         inside[best] = True
         while True:
             chosen = np.flatnonzero(inside)
-            own = np.linalg.lstsq(columns[chosen].T, h, rcond=None)[0]
+            uses = np.zeros((len(h), len(chosen)))
+            np.add.at(uses, (combos[chosen], np.arange(len(chosen))[:, None]), 1.0)
+            uses[0] = 0
+            own = np.linalg.lstsq(uses, h, rcond=None)[0]
             low = own <= 1e-12
             if not low.any():
                 break
@@ -100,28 +102,65 @@ def repeats(histogram: np.ndarray, combos: np.ndarray) -> np.ndarray:
                 return x
         x[:] = 0
         x[chosen] = own
+        rest = h - uses @ own
+        rest[0] = 0
     return x
 
 
+class Pool:
+    """Items by their lengths."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.items: dict[int, list[int]] = {}
+        for i, v in enumerate(lengths.tolist()):
+            self.items.setdefault(v, []).append(i)
+        self.order = sorted(self.items)
+
+    def take(self, least: int, most: int) -> tuple[int, int] | None:
+        """(length, item) of the longest within the bounds."""
+        k = bisect_right(self.order, most) - 1
+        if k < 0 or self.order[k] < least:
+            return None
+        v = self.order[k]
+        item = self.items[v].pop()
+        if not self.items[v]:
+            del self.order[k]
+        return v, item
+
+    def back(self, taken: list[tuple[int, int]]) -> None:
+        for v, item in taken:
+            if not self.items[v]:
+                insort(self.order, v)
+            self.items[v].append(item)
+
+
 def plan(lengths: np.ndarray, window: int) -> tuple[list[list[int]], list[int]]:
     """Items of each planned window, and the items left over."""
     step = max(1, window // BUCKETS)
-    bucket = -(-lengths // step)
-    histogram = np.bincount(bucket, minlength=-(-window // step) + 1)
-    items: dict[int, list[int]] = {}
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        items.setdefault(int(bucket[i]), []).append(i)
-    windows = []
+    low = step // 2
+    histogram = np.bincount(np.maximum(1, (lengths + low) // step), minlength=-(-window // step) + 1)
+    pool, windows = Pool(lengths), []
     combos = combinations(histogram, window // step)
-    if len(combos):
-        times = np.floor(repeats(histogram, combos) + 0.5).astype(int)
-        for k in np.argsort(-times, kind="stable").tolist():
-            if not times[k]:
-                break
-            row = [v for v in combos[k].tolist() if v]
-            most = min(len(items[v]) // row.count(v) for v in set(row))
-            windows += [[items[v].pop() for v in row] for _ in range(min(int(times[k]), most))]
-    return windows, [i for held in items.values() for i in held]
+    times = np.floor(repeats(histogram, combos) + 0.5).astype(int) if len(combos) else np.empty(0, int)
+    for k in np.argsort(-times, kind="stable").tolist():
+        *large, _ = [v for v in combos[k].tolist()[::-1] if v]
+        for _ in range(int(times[k])):
+            taken, room = [], window
+            for v in large:
+                found = pool.take(max(1, v * step - low - NEAR * step), min(room - 1, v * step - low + step - 1))
+                if found is None:
+                    break
+                taken.append(found)
+                room -= found[0]
+            else:
+                # The last one is the longest that fits, which may be a bucket or two off.
+                found = pool.take(max(1, room - 2 * step + 1), room)
+                if found is not None:
+                    windows.append([i for _, i in [*taken, found]])
+                    continue
+            pool.back(taken)
+            break
+    return windows, [i for held in pool.items.values() for i in held]
 
 
 def pack_lengths(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int, bool]]:

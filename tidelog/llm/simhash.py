@@ -15,7 +15,9 @@ comparisons made.
 Cases: a null or empty text, or one without words, has fingerprint zero and links like
 any other; a text of fewer than ``k`` words is one shingle; repeated shingles count
 each time; rows with equal or null ``doc_id`` are kept apart, a null being larger than
-any other; an empty table gives no rows; other columns are ignored.
+any other; an empty table gives no rows; other columns are ignored or, in
+``one_of_each``, passed on, whatever their names: the operator's own columns take names
+that the table doesn't have.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, table
+from .common import Workspace, column, columns, connected_components, free_names, table
 from .numpy_links import Blocks
 
 #: Fingerprints in a tile, at least; and tiles at which tiles begin to grow.
@@ -58,15 +60,15 @@ def fingerprint(text: bytes | None, k: int = 4, seed: int = 42) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
-    """The rows of ``docs`` with ``__fp``, the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, k: int = 4, name: str = "__fp") -> DataFrame:
+    """The rows of ``docs`` with the fingerprint as a signed 64-bit integer."""
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series(np.array([fingerprint(t, k) for t in s], "u8").view("i8"))
 
-    return docs.withColumn("__fp", fp(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+    return docs.withColumn(name, fp(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
 
 
 def near_links(fps: DataFrame, ws: Workspace, radius: int = 4) -> DataFrame:
@@ -133,8 +135,7 @@ def near_groups(fps: DataFrame, ws: Workspace, radius: int = 4) -> DataFrame:
 
 
 def with_group(fps: DataFrame, groups: DataFrame) -> DataFrame:
-    """A fingerprint that links with none is a group of its own. The join's left side
-    may be split where one fingerprint has many rows."""
+    """A fingerprint that links with none is a group of its own."""
     return fps.join(groups, "__fp", "left").withColumn("__group", F.coalesce("__group", "__fp"))
 
 
@@ -143,10 +144,11 @@ def simhash(docs: DataFrame, ws: Workspace, k: int = 4, radius: int = 4) -> Data
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     fps = ws.save(fingerprints(own, k).select("doc_id", "__fp"), "fingerprints")
     groups = near_groups(fps, ws, radius)
-    # The least id of each fingerprint, then of each group: both are sums made before a shuffle.
-    least = with_group(fps.groupBy("__fp").agg(F.min("doc_id").alias("least")), groups)
-    names = least.groupBy("__group").agg(F.min("least").alias("component_id"))
-    of = ws.save(least.join(names, "__group").select("__fp", "component_id"), "names")
+    # The least id of each fingerprint, then of each group: both are sums made before a shuffle,
+    # and written before they are joined, so that Spark can split a large group.
+    least = ws.save(with_group(fps.groupBy("__fp").agg(F.min("doc_id").alias("least")), groups), "least")
+    names = ws.save(least.groupBy("__group").agg(F.min("least").alias("component_id")), "names")
+    of = ws.save(least.join(names, "__group").select("__fp", "component_id"), "of")
     return fps.join(of, "__fp").select(
         "doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -155,12 +157,14 @@ def simhash(docs: DataFrame, ws: Workspace, k: int = 4, radius: int = 4) -> Data
 def one_of_each(docs: DataFrame, ws: Workspace, k: int = 4, radius: int = 4) -> DataFrame:
     """The documents without near-duplicates: of each group the row with the smallest
     id stays, of equal ids one row."""
-    rows = ws.save(fingerprints(docs, k).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups = near_groups(rows.select("__fp"), ws, radius)
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    least = with_group(rows.groupBy("__fp").agg(F.min(key).alias("key")), groups)
-    stay = least.groupBy("__group").agg(F.min("key").alias("key")).select(F.col("key.__row").alias("__row"))
-    return rows.join(stay, "__row", "left_semi").select(*docs.columns)
+    fp, row = free_names(docs, "__fp", "__row")
+    rows = ws.save(fingerprints(docs, k, fp).withColumn(row, F.monotonically_increasing_id()), "rows")
+    own = rows.select(column(fp).alias("__fp"), column(row).alias("__row"), F.col("doc_id").alias("__id"))
+    groups = near_groups(own, ws, radius)
+    key = F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")
+    least = with_group(own.groupBy("__fp").agg(F.min(key).alias("key")), groups)
+    stay = least.groupBy("__group").agg(F.min("key").alias("key")).select(F.col("key.__row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*columns(docs))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ language leaves its old total and joins the new one.
 
 A batch is committed by one rename, under its id. A batch id that is already committed
 changes nothing, and what a failed attempt left is never read, so a batch may be sent
-again at any time. One writer at a time.
+again at any time. One writer at a time. Of what the store had, only the rows of the
+batch's own documents are looked up; after ``FOLD_AFTER`` batches their ledgers and
+deltas are folded into one, which is a commit like another.
 
 Cases: of several changes to a document and version in a batch the one with the
 highest ``seq`` counts, of equal ones the last in the order (delete first, then by
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ from .wordids import slices, word_ids
 
 KEY, GROUP = ["doc_id", "tokenizer"], ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, tokenizer string, source string, lang string, n_tokens long, alive boolean, batch long"
+#: Batches after which ledgers and deltas are folded.
+FOLD_AFTER = 16
 DELTAS = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
@@ -69,17 +74,32 @@ class TokenRollup:
             raise RuntimeError(f"batch {entry['id']} was not committed")
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.root}/{c['data']}/{kind}" for c in self.commits()]
+        done = self.commits()
+        folds = [i for i, c in enumerate(done) if c.get("fold")]
+        paths = [f"{self.root}/{c['data']}/{kind}" for c in done[folds[-1] if folds else 0 :]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def documents(self) -> DataFrame:
-        """The store's present row for each document and version."""
+    @staticmethod
+    def _now(ledger: DataFrame) -> DataFrame:
         row = F.struct("batch", "alive", "source", "lang", "n_tokens")
         return (
-            self._read("ledger", LEDGER).groupBy(*KEY).agg(F.max(row).alias("now"))
-            .where("now.alive").select(*KEY, "now.source", "now.lang", "now.n_tokens")
+            ledger.groupBy(*KEY).agg(F.max(row).alias("now"))
+            .where("now.alive").select(*KEY, "now.source", "now.lang", "now.n_tokens", "now.batch")
         )
 
+    def documents(self) -> DataFrame:
+        """The store's present row for each document and version."""
+        return self._now(self._read("ledger", LEDGER)).drop("batch")
+
+    def fold(self) -> None:
+        """One ledger and one table of deltas in the place of those of all batches."""
+        number = 1 + max((c["batch"] for c in self.commits()), default=0)
+        data = f"data/{number:012d}-{uuid.uuid4().hex[:12]}"
+        present = self._now(self._read("ledger", LEDGER))
+        present.select(*KEY, "source", "lang", "n_tokens", F.lit(True).alias("alive"), "batch").write.parquet(f"{self.root}/{data}/ledger")
+        self.totals().write.parquet(f"{self.root}/{data}/deltas")
+        self._publish({"id": None, "batch": number, "data": data, "fold": True})
+
     def totals(self) -> DataFrame:
         return (
             self._read("deltas", DELTAS)
@@ -111,17 +131,18 @@ class TokenRollup:
         signed = lambda df, sign: df.select(*GROUP, F.lit(sign).cast("long").alias("docs"), (F.lit(sign) * F.col("n_tokens")).alias("tokens"))
         deltas = signed(ledger.where("alive"), 1).unionByName(signed(rows.where("doc_id is null and new"), 1))
         if done:
-            before = self.documents().alias("s").join(
-                ledger.select(F.col("doc_id").alias("d"), F.col("tokenizer").alias("t")),
-                (F.col("s.doc_id") == F.col("d")) & F.col("s.tokenizer").eqNullSafe(F.col("t")),
-                "left_semi",
-            )
+            keys = ledger.select(F.col("doc_id").alias("d"), F.col("tokenizer").alias("t"))
+            had = self._read("ledger", LEDGER).join(keys, (F.col("doc_id") == F.col("d")) & F.col("tokenizer").eqNullSafe(F.col("t")), "left_semi")
+            before = self._now(had)
             deltas = deltas.unionByName(signed(before, -1))
         (
             deltas.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
             .where("docs <> 0 or tokens <> 0").write.parquet(f"{self.root}/{data}/deltas")
         )
         self._publish({"id": batch_id, "batch": number, "data": data})
+        since = 1 + sum(1 for _ in takewhile(lambda c: not c.get("fold"), reversed(done)))
+        if since >= FOLD_AFTER:
+            self.fold()
         return True
 
 
@@ -152,9 +173,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = TokenRollup(spark, ws.path("rollup"))
     change = lambda df, op, seq, version: df.select(F.lit(op).alias("op"), F.lit(seq).alias("seq"), "doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "n_tokens")
     one, two = "word_bpe_49k/1", "word_bpe_49k/2"
+    # Both sides of the join on the digest are written first: then Spark can split a large group of copies.
     digest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("sha"))
+    digest = ws.save(digest, "digests")
     first = digest.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    copies = digest.join(first, "sha").where("doc_id > first").select("doc_id")
+    copies = ws.save(digest.join(ws.save(first, "first"), "sha").where("doc_id > first").select("doc_id"), "copies")
     ended = counts.withColumn("n_tokens", F.col("n_tokens") + 1)
     for batch_id, changes in (
         ("load", change(counts, "insert", 1, one)),

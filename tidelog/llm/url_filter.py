@@ -8,10 +8,12 @@ edges; distrust is the same from the blocked seeds against the edges, so that ho
 which link to bad ones share their score. A host whose distrust is over ``ratio``
 times its trust is blocked; one without either is allowed.
 
-Only DataFrame functions run here. Edges and pages are summed by host before they are
-joined, each few rounds end in a written table, and the joins on the host are plain
-ones, which Spark splits where one host has many rows. Mass at hosts without edges
-is not dealt out again, which scales all scores alike.
+Only DataFrame functions run here. Urls and links are taken apart once, and written.
+Edges and pages are summed by host before they are joined; these sums are written
+first, as Spark splits a join where one host has many rows if both sides come from
+tables. A host's edges are dealt into parts for the rounds, of which every fourth ends
+in a written table. Mass at hosts without edges is not dealt out again, which scales
+all scores alike.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule,
 takes no part in the graph and is allowed; a null html has no links; repeated pages
@@ -56,17 +58,23 @@ RULES = (
     Rule("block", "org", "/es/"),
 )
 DAMPING, ROUNDS, RATIO = 0.85, 12, 1.0
+#: Steps of one host that are brought together.
+STEPS_OF_PART = 1 << 14
 
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def host_of(url: Column) -> Column:
+    return lower_ascii(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), HOST, 1))
+
+
 def with_rule(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds host, path, rule and rule_verdict. The longest rule wins, host and path
     together; of equally long ones the first given."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    out = pages.withColumn("host", lower_ascii(F.regexp_extract(url, HOST, 1))).withColumn("path", F.regexp_extract(url, PATH, 1))
+    out = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", F.regexp_extract(url, PATH, 1))
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: len(r.name)):  # the longest is asked first
         fits = ((F.col("host") == r.host) | F.col("host").endswith(f".{r.host}")) & F.col("path").startswith(r.path)
@@ -92,39 +100,54 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, ws: Workspace, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """``edges(src, dst, n)`` and ``seeds(host, allowed, blocked)`` to (host, trust, distrust)."""
+    """``edges(src, dst, n)`` and ``seeds(host, allowed, blocked)`` to (host, trust, distrust).
+    A host's steps are dealt into ``parts`` of ``STEPS_OF_PART`` or so, and its score is sent to
+    each of them; a step tells how many parts its target has, so that costs no join."""
     edges = ws.save(edges, "edges")
-    outgoing = edges.groupBy("src").agg(F.sum("n").alias("all_n"))
-    incoming = edges.groupBy(F.col("dst").alias("d")).agg(F.sum("n").alias("all_n"))
-    ahead = edges.join(outgoing, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("all_n")).alias("share"))
-    back = edges.join(incoming, edges.dst == incoming.d).select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("all_n")).alias("share"))
-    steps = ws.save(ahead.unionByName(back), "steps")
-    total = seeds.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()  # one row
-    start = ws.save(
-        seeds.where("allowed > 0").select(F.lit("trust").alias("kind"), "host", (F.col("allowed") / F.lit(float(total.a or 1))).alias("seed"))
-        .unionByName(seeds.where("blocked > 0").select(F.lit("distrust").alias("kind"), "host", (F.col("blocked") / F.lit(float(total.b or 1))).alias("seed"))),
-        "seeds",
+    ends = edges.select(F.col("src").alias("host"), F.col("n").alias("out_n"), F.lit(None).cast("long").alias("in_n")).unionByName(
+        edges.select(F.col("dst").alias("host"), F.lit(None).cast("long").alias("out_n"), F.col("n").alias("in_n"))
+    )
+    parts = lambda c: F.greatest(F.ceil(F.count(c) / F.lit(STEPS_OF_PART)), F.lit(1)).cast("int")
+    hosts = ws.save(
+        ends.groupBy("host").agg(F.sum("out_n").alias("out_n"), F.sum("in_n").alias("in_n"), parts("out_n").alias("out_parts"), parts("in_n").alias("in_parts")), "hosts"
+    )
+    of = lambda end: hosts.select(*[F.col(c).alias(f"{end}_{c}" if c != "host" else end) for c in hosts.columns])
+    known = edges.join(of("src"), "src").join(of("dst"), "dst")
+    steps = lambda kind, end, other, side: known.select(
+        F.lit(kind).alias("kind"), F.col(end).alias("host"), F.pmod(F.xxhash64(other), F.col(f"{end}_{side}_parts")).cast("int").alias("part"),
+        F.col(other).alias("to"), F.col(f"{other}_{side}_parts").alias("to_parts"), (F.col("n") / F.col(f"{end}_{side}_n")).alias("share"),
     )
+    steps = ws.save(steps("trust", "src", "dst", "out").unionByName(steps("distrust", "dst", "src", "in")), "steps")
+    total = seeds.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()  # one row
+    begun = seeds.join(hosts, "host", "left")
+    start = lambda kind, c, n, side: begun.where(F.col(c) > 0).select(
+        F.lit(kind).alias("kind"), "host", (F.col(c) / F.lit(float(n or 1))).alias("seed"), F.coalesce(f"{side}_parts", F.lit(1)).alias("parts")
+    )
+    start = ws.save(start("trust", "allowed", total.a, "out").unionByName(start("distrust", "blocked", total.b, "in")), "seeds")
     score = start.withColumnRenamed("seed", "score")
     for k in range(rounds):
-        sent = steps.join(score, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        given = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-        score = sent.unionByName(given).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        dealt = score.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        sent = steps.join(dealt, ["kind", "host", "part"]).select(
+            "kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"), F.col("to_parts").alias("parts")
+        )
+        given = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"), "parts")
+        score = sent.unionByName(given).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.max("parts").alias("parts"))
         if k % 4 == 3 or k == rounds - 1:
             score = ws.save(score, f"score-{k}")
             ws.drop(f"score-{k - 4}")
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
-    return score.groupBy("host").agg(part("trust"), part("distrust"))
+    return ws.save(score.groupBy("host").agg(part("trust"), part("distrust")), "scores")
 
 
 def judge(pages: DataFrame, ws: Workspace, rules: tuple[Rule, ...] = RULES, ratio: float = RATIO) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
-    named = with_rule(pages.select(F.col("page_id").cast("long"), "url", "html"), rules)
+    own = pages.select(F.col("page_id").cast("long"), "url", "html")
+    named = ws.save(with_rule(own.drop("html"), rules).drop("url"), "named")
     count = lambda v: F.count(F.when(F.col("rule_verdict") == v, 1))
-    seeds = named.where("rule is not null").groupBy("host").agg(count("allow").alias("allowed"), count("block").alias("blocked"))
-    scores = propagate(host_edges(named), seeds, ws)
+    seeds = ws.save(named.where("rule is not null").groupBy("host").agg(count("allow").alias("allowed"), count("block").alias("blocked")), "counts")
+    scores = propagate(host_edges(own.withColumn("host", host_of(F.col("url")))), seeds, ws)
     method = F.when(F.coalesce("distrust", F.lit(0.0)) > ratio * F.coalesce("trust", F.lit(0.0)), "block").otherwise("allow")
-    return named.drop("url", "html").join(scores, "host", "left").select(
+    return named.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "trust", "distrust"
     )
 
