@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return keepers(sorted_runs(docs, Workspace(spark, "pipeline-exact"))).select(*docs.columns)
+    return keepers(sorted_runs(docs, Workspace(spark, "pipeline-exact")))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
