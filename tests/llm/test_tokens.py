@@ -74,6 +74,16 @@ def test_a_full_store_keeps_the_words_met_most(tokenizer):
     assert b"often" in own.store.row
 
 
+def test_a_store_of_long_words_is_bounded(tokenizer):
+    own = WordIds(WORDS)
+    own.store.most = 40
+    for i in range(8):
+        texts = [f"often {'long' * 150}{i} {'日本語' * 300}{i} again"]
+        assert words_of(own, texts) == [ids_of(tokenizer, t) for t in texts]
+        assert len(own.store.ids) < 40 * own.store.IDS + 2000 and own.store.n_bytes < 40 * own.store.BYTES + 4000
+        assert own.store.n_bytes == sum(map(len, own.store.row)) and own.store.at[-1] == len(own.store.ids)
+
+
 # Simple-8b
 
 

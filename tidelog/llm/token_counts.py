@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, batch_bytes, table
 from .wordids import slices, word_ids
 
 KEY, GROUP = ["doc_id", "tokenizer"], ["source", "lang", "tokenizer"]
@@ -169,7 +169,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ws = Workspace(spark, "token-counts")
     docs = table(spark, sf_dir, "documents")
-    counts = ws.save(count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")), "counts")
+    with batch_bytes(spark, "8m"):
+        counts = ws.save(count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")), "counts")
     rollup = TokenRollup(spark, ws.path("rollup"))
     change = lambda df, op, seq, version: df.select(F.lit(op).alias("op"), F.lit(seq).alias("seq"), "doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "n_tokens")
     one, two = "word_bpe_49k/1", "word_bpe_49k/2"

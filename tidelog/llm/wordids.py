@@ -47,6 +47,7 @@ def _byte_signs() -> dict[int, int]:
 
 def as_string(column: pa.Array) -> pa.Array:
     """A binary column's bytes as text, not checked; null: empty."""
+    column = column.cast(pa.binary())
     if column.null_count:
         column = pc.fill_null(column, b"")
     return pa.Array.from_buffers(pa.string(), len(column), column.buffers(), 0, column.offset)
@@ -68,24 +69,30 @@ def flat(lists: pa.Array) -> np.ndarray:
 
 
 class IdStore:
-    """Ids of words in one array, and the row of each word. Of more than ``most`` words,
-    the half that was met in the most calls stays."""
+    """Ids of words in one array, and the row of each word. Of more than ``most`` words, or of
+    many more ids or bytes than words of common lengths have, those that were met in the most
+    calls stay, up to half as many."""
+
+    #: Ids and bytes of a word that the bound counts on.
+    IDS, BYTES = 16, 64
 
     def __init__(self, most: int):
         self.most = most
         self.row: dict[str | bytes, int] = {}
         self.at, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
         self.met, self.marks = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.n_bytes = 0
 
     def rows(self, words: list, learn: Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
         """``learn`` gives ids, lengths and a number to keep with each of the words that aren't known."""
-        if len(self.row) > self.most:
+        if len(self.row) > self.most or len(self.ids) > self.IDS * self.most or self.n_bytes > self.BYTES * self.most:
             self._shrink()
         found = list(map(self.row.get, words))
         new = [w for w, k in zip(words, found, strict=True) if k is None]
         if new:
             ids, lengths, marks = learn(new)
             n = len(self.row)
+            self.n_bytes += sum(map(len, new))
             self.row.update(zip(new, range(n, n + len(new)), strict=True))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
             self.ids = np.concatenate([self.ids, ids.astype(np.uint32, copy=False)])
@@ -97,8 +104,13 @@ class IdStore:
         return found
 
     def _shrink(self) -> None:
-        stay = np.sort(np.argsort(-self.met, kind="stable")[: self.most // 2])
         words = list(self.row)
+        order = np.argsort(-self.met, kind="stable")
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        half = self.most // 2
+        most = [half, *(int(np.searchsorted(np.cumsum(x[order]), n * half, "right")) for x, n in ((np.diff(self.at), self.IDS), (size, self.BYTES)))]
+        stay = np.sort(order[: min(most)])
+        self.n_bytes = int(size[stay].sum())
         lists = self.lists().take(pa.array(stay))
         self.row = {words[k]: i for i, k in enumerate(stay.tolist())}
         self.at, self.ids = offsets(lists).astype(np.int64), flat(lists).copy()
