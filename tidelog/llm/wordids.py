@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept by a worker.
-CACHE_WORDS = 700_000
+#: Words kept by a worker: about 80 MB.
+CACHE_WORDS = 400_000
 #: ASCII signs that end a word apart from its letters; not the apostrophe, which
 #: the pre-tokenizer may join with letters.
 SIGNS = r""".,;:!?%&$*#|()[]{}"/+=<>@^~`\-_"""
@@ -219,7 +219,10 @@ class WordIds:
         row = self.store.rows(both.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn)
         taken = self.store.lists().take(pa.array(row[both.indices.to_numpy()]))
         lists = pa.ListArray.from_arrays(pa.array(offsets(taken)[::2]), taken.values)
-        return in_a_row(lists, coded.indices.to_numpy(), offsets(parted))
+        out = in_a_row(lists, coded.indices.to_numpy(), offsets(parted))
+        del parted, coded, words, core, parts, both, taken, lists
+        pa.default_memory_pool().release_unused()  # workers live on with what they don't give back
+        return out
 
 
 @lru_cache(maxsize=4)
